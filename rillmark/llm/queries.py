@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontaminate, neardup
+from rillmark.llm import decontaminate, neardup, packing, secrets
 from rillmark.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +25,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["order"] < 3)
+
+    def count(k: int, kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["order"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k, kind) for k, kind in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_pack": op3_pack,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_secrets": op8_secrets,
 }
 
 _OP1 = rf"""
@@ -70,4 +90,32 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.
 FROM s JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = s.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op7_near_duplicates": _OP7}
+
+
+def _op8_sql() -> str:
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        # RE2 folds case beyond ASCII, so letters of either case are written out.
+        rx = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub(r"[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", r.regex).replace("'", "''")
+        parts.append(f"""
+  SELECT r, {k} AS ord, '{r.kind}' AS kind, regexp_extract_all(t, '{rx}', 0) AS m, regexp_extract_all(t, '{rx}', {r.group}) AS g, string_split_regex(t, '{rx}') AS p, {r.least} AS least
+  FROM d WHERE regexp_matches(t, '{rx}')""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x),
+y AS (
+  SELECT r, ord, kind, m[i] AS hit, list_sum(list_transform(p[1 : i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda v: length(v))), 0) AS a
+  FROM i WHERE length(g[i]) >= least),
+z AS (SELECT r, ord, CAST(a AS BIGINT) AS a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(hit) AS BIGINT) AS s FROM y),
+n AS (
+  SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+         string_agg(s, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(s, ',' ORDER BY a, ord) AS spans
+  FROM z GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (r)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op7_near_duplicates": _OP7, "op8_secrets": _op8_sql()}
