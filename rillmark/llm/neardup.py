@@ -5,9 +5,11 @@
 2. BANDS bands of ROWS minimums each propose candidates.  At a similarity of 0.8
    a pair shares no band with a chance of (1 - 0.8**5)**40, about 1e-7.
 3. In each band's bucket every member is compared with the bucket's least member
-   (a star, so a bucket of m costs m - 1 comparisons).  The links found are
-   contracted to components; only buckets that still hold several components are
-   compared further, all pairs across components, in blocks of bounded size.
+   (a star, so a bucket of m costs m - 1 comparisons), and the links found are
+   contracted to components.  Buckets that still hold several components are compared
+   with a leader drawn at random in each of ROUNDS more rounds, members of the leader's
+   component aside.  Those that hold several even then are compared in all pairs
+   across components, in blocks of bounded size, each pair in one bucket only.
 4. A comparison reads the signatures in batches and stops as soon as the posterior
    chance of the wanted similarity falls under MISS; survivors are confirmed on
    full shingle sets.
@@ -34,7 +36,11 @@ from rillmark.llm import words as W
 from rillmark.llm.cluster import Scratch, components
 
 BANDS, ROWS = 40, 5
-BATCH, MISS = 20, 1e-7
+BATCH, MISS = 20, 1e-6
+#: Random stars before the rest is compared in pairs.
+ROUNDS = 3
+#: Bits of the broadcast bitmap of ids, whatever their number; it only spares work.
+BITMAP = 1 << 23
 #: Members of a block; pairs of blocks are compared, so a bucket of any size is whole.
 BLOCK = 256
 _RNG = np.random.default_rng(71)
@@ -112,29 +118,31 @@ def survivors(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("short", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in W.of_column(batch.column(1)):
                 sets = shingle_sets(w, k)
                 full = [x for x, s in enumerate(sets) if len(s)]
-                hashes, keys, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                hashes, keys, short, sigs = ([None] * len(sets) for _ in range(4))
                 if full:
                     mins = minimums([sets[x] for x in full])
                     bands, bits = band_keys(mins).view(np.int64), (W.mix(mins) >> np.uint64(48)).astype("<u2")
                     for r, x in enumerate(full):
-                        hashes[x], keys[x], sigs[x] = md5(sets[x].tobytes(), usedforsecurity=False).digest(), bands[r], bits[r].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=schema)
+                        hashes[x], keys[x], short[x], sigs[x] = md5(sets[x].tobytes(), usedforsecurity=False).digest(), bands[r], bands[r].astype("<u4").tobytes(), bits[r].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
 
-def _full_sets(k: int):
+def _full_sets(k: int, wanted):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = (W.mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
+            batch = batch.filter(pa.array((wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for i, j, w in W.of_column(batch.column(1)):
                 sets = shingle_sets(w, k)
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
@@ -144,10 +152,10 @@ def _full_sets(k: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, width: int = BANDS * ROWS, kind: str = "<u2") -> np.ndarray:
     _, offsets, data = column.cast(pa.large_binary()).buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u2").reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), width)
 
 
 def _prune(percent: int):
@@ -165,17 +173,20 @@ def _across(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        sig = _matrix(rows["sig"].combine_chunks())
-        rep, n, comp, side, leader = (rows[c].to_numpy() for c in ("rep", "n", "component", "side", "leader"))
+        sig, keys = _matrix(rows["sig"].combine_chunks(), BANDS * ROWS, "<u2"), _matrix(rows["short"].combine_chunks(), BANDS, "<u4")
+        band = int(np.argmax(keys[0] == np.uint32(rows["bkey"][0].as_py() & 0xFFFFFFFF)))
+        rep, n, comp, side = (rows[c].to_numpy() for c in ("rep", "n", "component", "side"))
         alone = len(np.unique(side)) == 1
         left = np.arange(len(rep)) if alone else np.flatnonzero(side == side.min())
         other = left if alone else np.flatnonzero(side != side.min())
         a, b = [], []
         for i in left:
             j = other[other > i] if alone else other
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (rep[j] != leader[i]) & (rep[i] != leader[i])]
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # seen in an earlier band
             if len(j):
                 j = j[survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], percent)]
+            if len(j):
                 a.append(np.full(len(j), rep[i]))
                 b.append(rep[j])
         if a and sum(map(len, a)):
@@ -205,6 +216,37 @@ def _across(percent: int):
     return run
 
 
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap of BITMAP bits in which every id's bit is set; made of at most BITMAP / 64 sums."""
+    slots = ids.toDF("id").mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(BITMAP // 64, np.int64)
+    for word, bits in slots.collect():
+        out[word] = bits
+    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(BITMAP // 64, np.int64)
+    for batch in batches:
+        slot = (W.mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
+        np.bitwise_or.at(seen, slot >> 6, np.int64(1) << (slot & 63))
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "bits": pa.array(seen[at], pa.int64())})
+
+
+def _blocks_of(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of mixed buckets with their signatures, dealt and sorted by pairs of blocks."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    return (
+        rows.join(facts.select("rep", "n", "sig", "short").hint("merge"), "rep")
+        .withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("bkey", "rep", "component", "n", "sig", "short", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
+        .repartition("bkey", "one", "two")
+        .sortWithinPartitions("bkey", "one", "two")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of `docs`.
 
@@ -214,62 +256,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(texts.mapInArrow(_signatures(shingle_words), "doc_id long, n long, set_hash binary, keys array<long>, sig binary"))
+    signed = scratch.keep(texts.mapInArrow(_signatures(shingle_words), "doc_id long, n long, set_hash binary, keys array<long>, short binary, sig binary"))
     able = signed.where("doc_id is not null and n > 0")
-    sets = able.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    sets = able.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"), F.first("sig").alias("sig"))
     reps = scratch.keep(sets)
 
     spread = reps.select("rep", F.explode("keys").alias("bkey"))
     buckets = spread.groupBy("bkey").agg(F.min("rep").alias("leader"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("members")).where("leader <> most").drop("most")
     members = scratch.keep(spread.join(buckets, "bkey"))
 
-    facts = reps.select("rep", "n", "sig")
-    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    seen = (
-        star.join(facts.toDF("b", "nb", "sb").hint("merge"), "b")
-        .join(facts.toDF("a", "na", "sa").hint("merge"), "a")
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_prune(percent), "a long, b long")
-    )
+    def surviving(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        return (
+            pairs.join(facts.select("rep", "n", "sig").toDF("b", "nb", "sb").hint("merge"), "b")
+            .join(facts.select("rep", "n", "sig").toDF("a", "na", "sa").hint("merge"), "a")
+            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            .select("a", "b", "sa", "sb")
+            .mapInArrow(_prune(percent), "a long, b long")
+        )
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """(id, shingles) of these ids and, as the bitmap may say so, of others."""
+        return scratch.keep(texts.where("doc_id is not null").mapInArrow(_full_sets(shingle_words, _bitmap(ids)), "id long, shingles array<long>"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.distinct())
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        full = texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "id long, shingles array<long>")
+    def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
         both = pairs.join(full.toDF("b", "sb").hint("merge"), "b").join(full.toDF("a", "sa").hint("merge"), "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         met = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("total")).where(f"100L * i >= {percent}L * (total - i)")
         return scratch.keep(met.select("a", "b").distinct())
 
-    links = confirmed(seen)
-    first = scratch.keep(components(scratch, links.toDF("src", "dst")).toDF("rep", "component"))
+    def joined(links: DataFrame, known: DataFrame) -> DataFrame:
+        """(rep, component) after more links."""
+        at = links.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
+        more = components(scratch, at.select(F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst"))).toDF("component", "final")
+        old = known.join(more, "component", "left").select("rep", F.coalesce("final", "component").alias("component"))
+        new = more.join(known, F.col("rep") == more["component"], "left_anti").select(F.col("component").alias("rep"), F.col("final").alias("component"))
+        return scratch.keep(old.union(new))
 
-    placed = members.where("members > 2").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bkey").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bkey")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = (
-        placed.join(mixed, "bkey")
-        .join(facts.hint("merge"), "rep")
-        .withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bkey", "rep", "leader", "component", "n", "sig", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
-        .repartition("bkey", "one", "two")
-        .sortWithinPartitions("bkey", "one", "two")
-        .mapInArrow(_across(percent), "a long, b long")
-    )
-    more = confirmed(rest)
-    named = first.toDF("node", "component")
-    bridges = (
-        more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
-        .select(F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst"))
-    )
+    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    seen = scratch.keep(surviving(star, reps))
+    links = confirmed(seen, full_sets(seen.select("a").union(seen.select("b"))))
+    known = scratch.keep(components(scratch, links.toDF("src", "dst")).toDF("rep", "component"))
+
+    left = members.where("members > 2").select("bkey", "rep", "members")
+    facts = sets = None
+    for r in range(ROUNDS + 1):
+        placed = left.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        draw = F.xxhash64("rep", "bkey", F.lit(r))
+        mixed = placed.groupBy("bkey").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", draw).alias("leader"), F.min_by("component", draw).alias("own")).where("low <> high").drop("low", "high")
+        rows = scratch.keep(placed.join(mixed, "bkey"))
+        left = rows.select("bkey", "rep", "members")
+        if facts is None:
+            live = scratch.keep(rows.select("rep").distinct())
+            facts = scratch.keep(reps.join(live, "rep", "left_semi"))
+            sets = full_sets(live)
+        if r < ROUNDS:
+            found = surviving(rows.where("component <> own").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), facts)
+        else:
+            found = _blocks_of(rows, facts).mapInArrow(_across(percent), "a long, b long").distinct()
+        known = joined(confirmed(found, sets), known)
+    named = known.toDF("node", "component")
     # Texts of one id are one document, whatever their sets.
     owned = able.select("doc_id", "set_hash").join(reps.select("set_hash", "rep"), "set_hash")
     odd = owned.groupBy("doc_id").agg(F.min("rep").alias("one")).join(owned, "doc_id").where("rep <> one").select("one", "rep").distinct()
     same = odd.join(named.toDF("one", "ca"), "one", "left").join(named.toDF("rep", "cb"), "rep", "left").select(F.coalesce("ca", "one").alias("src"), F.coalesce("cb", "rep").alias("dst"))
-    second = components(scratch, bridges.union(same)).toDF("component", "final")
-    ends = reps.select("set_hash", "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(second, "component", "left").select("set_hash", F.coalesce("final", "component").alias("component_id"))
+    second = components(scratch, same).toDF("component", "final")
+    ends = reps.select("set_hash", "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(second, "component", "left").select("set_hash", F.coalesce("final", "component").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(ends, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
