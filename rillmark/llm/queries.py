@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontaminate, neardup, packing, secrets
+from rillmark.llm import decontaminate, langid, licenses, lm, neardup, packing, quality, secrets, toxicity, vectors
+from rillmark.llm.cluster import held_out
 from rillmark.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +26,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.trained(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -46,11 +67,27 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identified(docs, langid.trained(docs))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_pack": op3_pack,
+    "op4_toxicity": op4_toxicity,
+    "op5_suffix_tree": op5_suffix_tree,
+    "op6_licences": op6_licences,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_secrets": op8_secrets,
+    "op9_near_vectors": op9_near_vectors,
+    "op10_language": op10_language,
 }
 
 _OP1 = rf"""
@@ -118,4 +155,42 @@ FROM d LEFT JOIN n USING (r)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op7_near_duplicates": _OP7, "op8_secrets": _op8_sql()}
+_OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+k AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id AS d, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d)
+SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = v.vec_id
+"""
+
+
+
+def _op6_sql() -> str:
+    names, w, b = licenses.model()
+    n = len(licenses.FAMILIES)
+    weights = ", ".join(f"(' {g} ', {k}, {v:.4f})" for g, row in zip(names, w, strict=True) for k, v in enumerate(row) if v)
+    bias = ", ".join(f"({k}, {v:.4f})" for k, v in enumerate(b))
+    shapes = ", ".join(f"({k}, {i}, ' {g} ')" for k, f in enumerate(licenses.FAMILIES) for i, t in enumerate(licenses.TEMPLATES[f]) for g in sorted(licenses.grams(t)))
+    labels = ", ".join(f"({k}, '{f}')" for k, f in enumerate(licenses.FAMILIES))
+    anchors = " OR ".join(f"contains(p, ' {g} ')" for g in licenses.anchors())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, i, ' ' || regexp_replace(lower(lines[i]), '[^a-z0-9]+', ' ', 'g') || ' ' AS p FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+a AS (SELECT * FROM l WHERE {anchors}),
+w(g, k, v) AS (VALUES {weights}), b(k, v) AS (VALUES {bias}), s(k, t, g) AS (VALUES {shapes}), f(k, name) AS (VALUES {labels}),
+z AS (SELECT a.r, a.i, b.k, any_value(b.v) + coalesce(sum(w.v), 0) AS z FROM a CROSS JOIN b LEFT JOIN w ON w.k = b.k AND contains(a.p, w.g) GROUP BY ALL),
+m AS (SELECT r, i, arg_max(k, z) FILTER (k < {n}) AS k, max(z) FILTER (k < {n}) AS best FROM z GROUP BY ALL),
+q AS (SELECT m.r, m.i, m.k, 1 / sum(exp(CAST(z.z - m.best AS DOUBLE))) AS p FROM m JOIN z ON z.r = m.r AND z.i = m.i GROUP BY ALL),
+c AS (SELECT a.r, a.i, s.k, s.t FROM a JOIN s ON true GROUP BY ALL HAVING count(*) FILTER (contains(a.p, s.g)) >= {licenses.CONFIRM} * count(*)),
+o AS (SELECT q.r, q.i, CASE WHEN q.p >= {licenses.THRESHOLD} AND EXISTS (SELECT 1 FROM c WHERE c.r = q.r AND c.i = q.i AND c.k = q.k) THEN q.k END AS k FROM q),
+e AS (SELECT o.r, count(o.k) AS n_paragraphs, count(*) - count(o.k) AS n_unknown, string_agg(DISTINCT f.name, ',' ORDER BY f.name) AS families FROM o LEFT JOIN f ON f.k = o.k GROUP BY o.r)
+SELECT d.doc_id, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_unknown, 0) AS n_unknown, coalesce(families, '') AS families FROM d LEFT JOIN e USING (r)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_licences": _op6_sql(), "op9_near_vectors": _OP9, "op1_decontaminate": _OP1, "op7_near_duplicates": _OP7, "op8_secrets": _op8_sql()}

@@ -18,8 +18,8 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 _WEIGHTS = np.random.default_rng(20240607).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Words `[^\x20\x09-\x0D]+`.
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -62,7 +62,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def word(self, i: int) -> bytes:
-        return bytes(_LOWER[self.raw[self.start[i] : self.end[i]]])
+        return bytes(LOWER[self.raw[self.start[i] : self.end[i]]])
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE) -> W
     begins[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    kept, length = _LOWER[raw[inside]], end - start
+    kept, length = LOWER[raw[inside]], end - start
     head = np.cumsum(length) - length
     place = np.arange(len(kept)) - np.repeat(head, length)
     place &= 4095
