@@ -1,0 +1 @@
+"""Commutative-monoid jobs over batch and streaming DataFrames."""
