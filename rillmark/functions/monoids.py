@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,10 +50,10 @@ def _plain(name: str, lift: Aggregate, merge: Aggregate) -> Monoid:
 
 def wrapped(total: Column, width: int, signed: bool = True) -> Column:
     """A whole number reduced to a fixed width in two's complement."""
-    size = F.lit(1 << width).cast("decimal(38,0)")
+    size = F.lit(Decimal(1 << width)).cast("decimal(38,0)")
     low = F.pmod(total.cast("decimal(38,0)"), size)
     if signed:
-        low = F.when(low >= F.lit(1 << (width - 1)).cast("decimal(38,0)"), low - size).otherwise(low)
+        low = F.when(low >= F.lit(Decimal(1 << (width - 1))).cast("decimal(38,0)"), low - size).otherwise(low)
     return low.cast("bigint" if signed or width < 64 else "decimal(20,0)")
 
 

@@ -40,7 +40,7 @@ def custom_stream(spark: SparkSession, name: str, schema: StructType, read: Call
         def schema(self) -> StructType:
             return schema
 
-        def simpleStreamReader(self, _: StructType) -> SimpleDataSourceStreamReader:
+        def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: ARG002  its name is given
             return _Reader(read, setup)
 
     spark.dataSource.register(Source)
