@@ -13,12 +13,14 @@ from rillmark.functions.scalars import words
 from rillmark.operators.index import Index
 from rillmark.operators.joins import consuming
 from rillmark.plans.jobs import Job, JobConfig
+from rillmark.session import ship
 from rillmark.streaming.storage import Folder, Topic
 from rillmark.streaming.workdir import work_dir
 
 
 def streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table's file as a stream: the folder is read, and only that file of it, or the table's folder of files."""
+    ship(spark)
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     at = Folder(spark, f"{sf_dir}/{table}.parquet")
     path, fs = at._at("")
