@@ -8,6 +8,7 @@ Paths go through Hadoop's file systems, so a folder may be in any store they rea
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -138,6 +139,20 @@ class Topic(Batches):
         return self.read().where((F.col("_pid") == pid) & past).orderBy("_ver", "_idx").limit(n)
 
 
+    def dump(self) -> list:
+        """All rows, in memory: for tests and small topics."""
+        return self.read().orderBy("_ver", "_pid", "_idx").collect()
+
+    def wait(self, after: int = -1, timeout: float = 10.0, every: float = 0.2) -> bool:
+        """Whether a commit past `after` came within `timeout` seconds."""
+        end = time.monotonic() + timeout
+        while max(self.batch_ids(), default=-1) <= after:
+            if time.monotonic() >= end:
+                return False
+            time.sleep(every)
+        return True
+
+
 class Reader:
     """A named reader of a topic that advances its own checkpoint in each partition."""
 
@@ -177,3 +192,13 @@ class WatermarkLog(Folder):
 def default_watermark(inputs: list[int | None]) -> int | None:
     """The least of the inputs' watermarks; none until each has one."""
     return None if not inputs or any(w is None for w in inputs) else min(inputs)
+
+
+def lag(root: int | None, leaf: int | None) -> int | None:
+    """Milliseconds by which a leaf's watermark is behind its root's; none until both have one."""
+    return None if root is None or leaf is None else root - leaf
+
+
+def list_topics(spark: SparkSession, job_dir: str) -> list[str]:
+    """Steps of a job's folder that have committed topics."""
+    return [n for n in Folder(spark, job_dir).names() if Folder(spark, f"{job_dir}/{n}").exists("data")]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import monoids as M
 from rillmark.operators.index import Index, entries
-from rillmark.streaming.storage import Reader, Topic, WatermarkLog, default_watermark
+from rillmark.streaming.storage import Reader, Topic, WatermarkLog, default_watermark, lag, list_topics
 from rillmark.streaming.tables import AggrTable
 
 
@@ -94,3 +94,12 @@ def test_watermarks_are_monotone_and_versioned(spark, tmp_path):
 @pytest.mark.parametrize(("inputs", "want"), [([3, 5], 3), ([3, None], None), ([], None), ([7], 7)])
 def test_default_watermark_waits_for_all_inputs(inputs, want):
     assert default_watermark(inputs) == want
+
+
+def test_waiting_dumping_and_listing(spark, tmp_path):
+    t = Topic(spark, f"{tmp_path}/step/data")
+    assert not t.wait(timeout=0.1) and list_topics(spark, str(tmp_path)) == []
+    t.write(strings(spark, "a", "b"))
+    assert t.wait(timeout=0.1) and not t.wait(after=0, timeout=0.1)
+    assert [r["value"] for r in t.dump()] == ["a", "b"] and list_topics(spark, str(tmp_path)) == ["step"]
+    assert lag(9, 4) == 5 and lag(None, 4) is None
