@@ -168,6 +168,16 @@ def _prune(percent: int):
     return run
 
 
+def _may_link(i: int, j: np.ndarray, n: np.ndarray, at: np.ndarray, flat: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets j may link with set i, by the upper halves of their hashes: halves that meet by chance only add to what is shared."""
+    own = flat[at[i] : at[i + 1]]
+    size = at[j + 1] - at[j]
+    other = flat[np.repeat(at[j] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+    hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+    shared = np.minimum(np.add.reduceat(hit, np.cumsum(size) - size), n[i])
+    return 100 * shared >= percent * (n[i] + n[j] - shared)
+
+
 def _across(percent: int):
     """Of rows sorted by block pair: pairs of different components that survive the signatures."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -176,6 +186,9 @@ def _across(percent: int):
         sig, keys = _matrix(rows["sig"].combine_chunks(), BANDS * ROWS, "<u2"), _matrix(rows["short"].combine_chunks(), BANDS, "<u4")
         band = int(np.argmax(keys[0] == np.uint32(rows["bkey"][0].as_py() & 0xFFFFFFFF)))
         rep, n, comp, side = (rows[c].to_numpy() for c in ("rep", "n", "component", "side"))
+        lists = rows["high"].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint32)
+        at = at - at[0]
         alone = len(np.unique(side)) == 1
         left = np.arange(len(rep)) if alone else np.flatnonzero(side == side.min())
         other = left if alone else np.flatnonzero(side != side.min())
@@ -186,6 +199,8 @@ def _across(percent: int):
             j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # seen in an earlier band
             if len(j):
                 j = j[survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], percent)]
+            if len(j):
+                j = j[_may_link(i, j, n, at, flat, percent)]
             if len(j):
                 a.append(np.full(len(j), rep[i]))
                 b.append(rep[j])
@@ -234,14 +249,16 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "bits": pa.array(seen[at], pa.int64())})
 
 
-def _blocks_of(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Members of mixed buckets with their signatures, dealt and sorted by pairs of blocks."""
+def _blocks_of(rows: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of mixed buckets with their signatures and the upper halves of their shingles, dealt and sorted by pairs of blocks."""
+    halves = sets.select(F.col("id").alias("rep"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("high"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     return (
         rows.join(facts.select("rep", "n", "sig", "short").hint("merge"), "rep")
+        .join(halves.hint("merge"), "rep")
         .withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bkey", "rep", "component", "n", "sig", "short", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
+        .select("bkey", "rep", "component", "n", "sig", "short", "high", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
         .repartition("bkey", "one", "two")
         .sortWithinPartitions("bkey", "one", "two")
     )
@@ -312,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if r < ROUNDS:
             found = surviving(rows.where("component <> own").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), facts)
         else:
-            found = _blocks_of(rows, facts).mapInArrow(_across(percent), "a long, b long").distinct()
+            found = _blocks_of(rows, facts, sets).mapInArrow(_across(percent), "a long, b long").distinct()
         known = joined(confirmed(found, sets), known)
     named = known.toDF("node", "component")
     # Texts of one id are one document, whatever their sets.
