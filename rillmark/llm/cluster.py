@@ -34,6 +34,14 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Writes a result and removes all tables that led to it."""
+        out = self.keep(df)
+        for path in self.paths[:-1]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes the files of tables that keep() returned."""
         for t in tables:

@@ -340,4 +340,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = reps.select("set_hash", "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(second, "component", "left").select("set_hash", F.coalesce("final", "component").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(ends, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return scratch.only(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))

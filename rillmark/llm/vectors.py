@@ -254,4 +254,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     facts = facts.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("vec_id", "label", "key").join(facts, ["label", "key"], "left")
     out = out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return scratch.only(out.withColumn("kept", F.col("vec_id") == F.col("component_id")))
