@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.llm import decontaminate, langid, licenses, lm, neardup, packing, quality, secrets, toxicity, vectors
+from rillmark.llm.cluster import Scratch
 from rillmark.session import ship
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -276,6 +277,23 @@ def test_lm_on_an_empty_table(spark):
     assert lm.scored(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_states_of_a_rare_text_stay_when_other_texts_grow(spark, monkeypatch):
+    """The old test asked 1e-6 bits of every symbol of the corpus: here 40 bits, where these contexts have fewer."""
+    rng = random.Random(12)
+    rare = [prose(rng, 60) for _ in range(20)]
+
+    def found(texts):
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        states, _ = lm.states_of(df, Scratch(spark, "test"))
+        return {(r["depth"], r["context"]) for r in states.collect()}
+
+    monkeypatch.setattr(lm, "GAIN", 1.0)  # the small corpus must ask for BITS, too
+    alone = found(rare)
+    monkeypatch.undo()
+    grown = found(rare + ["\u4e16" * 3_400_000] * 4)
+    assert len(alone) > 50 and {s for s in alone if s[0] > 1} <= grown
+
+
 # 6
 
 
