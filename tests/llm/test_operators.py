@@ -294,6 +294,14 @@ def test_states_of_a_rare_text_stay_when_other_texts_grow(spark, monkeypatch):
     assert len(alone) > 50 and {s for s in alone if s[0] > 1} <= grown
 
 
+def test_a_symbol_is_told_by_the_seventh_before_it(spark):
+    """Each word takes one bit; with contexts of five bytes its last letter took another."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice(["xabcdefy", "zabcdefw"]) for _ in range(200))) for k in range(60)]
+    own = [r for r in lm.scored(docs(spark, rows)).collect() if r["held_out"]]
+    assert own and all(r["score"] > -0.4 * 200 for r in own)
+
+
 # 6
 
 
