@@ -120,6 +120,13 @@ def product_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("value.n <= 4").select(F.col("key").alias("k"), F.round("value.p", 2).alias("p"))
 
 
+@query("SELECT l_orderkey AS k, product(l_quantity) AS p, count(*) AS n FROM lineitem GROUP BY 1")
+def product_by_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every order; products are not rounded, so they compare by relative tolerance."""
+    v = F.struct(F.col("l_quantity").alias("p"), F.lit(1).alias("n"))
+    return stream(spark, sf_dir, "lineitem").group_by(one("l_orderkey")).aggregate(M.Tuple(p=M.Product, n=M.Count), v).select(F.col("key").alias("k"), "value.*")
+
+
 @query("SELECT count(*) AS n FROM events")
 def global_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir, "events").group_by(one(F.lit(True))).aggregate(M.Count, F.lit(1)).select(F.col("value").alias("n"))

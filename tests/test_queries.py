@@ -58,6 +58,13 @@ def test_query_equals_its_sql(spark, duck, name):
     check(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name])
 
 
+def test_products_take_every_line(spark, duck):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["product_by_order_all"](spark, SF).agg({"n": "sum", "k": "count"}).first()
+    assert tuple(sorted(got)) == tuple(sorted(duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
