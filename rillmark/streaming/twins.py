@@ -92,11 +92,20 @@ def eventual_index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(j.topic("by_type").read()).counts("", "~")
 
 
-@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_id % 5 = 0")
-def consuming_join_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = streamed(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", "user_id")
+def _met_stream(spark: SparkSession, e: DataFrame, name: str) -> DataFrame:
     met = consuming(e, e, F.col("event_id"), F.col("event_id"), F.col("event_id"), F.col("event_id"))
-    at = Topic(spark, f"{work_dir(spark, 'consuming')}/data")
+    at = Topic(spark, f"{work_dir(spark, name)}/data")
     query = met.select(F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")).writeStream.option("checkpointLocation", f"{at.path}-checkpoint").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start()
     query.awaitTermination()
     return at.read("x long, y long").select("x", "y")
+
+
+@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_id % 5 = 0")
+def consuming_join_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _met_stream(spark, streamed(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", "user_id"), "consuming")
+
+
+@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id")
+def consuming_join_all_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event."""
+    return _met_stream(spark, streamed(spark, sf_dir, "events").select("event_id", "user_id"), "consuming-all")

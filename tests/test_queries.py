@@ -65,6 +65,13 @@ def test_products_take_every_line(spark, duck):
     assert tuple(sorted(got)) == tuple(sorted(duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()))
 
 
+def test_the_consuming_join_takes_every_event(spark, duck):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["consuming_join_all_stream"](spark, SF)
+    assert got.where("x = y").distinct().count() == got.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
