@@ -179,6 +179,13 @@ def one_to_one_optional_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_to_one(e.where("event_id % 10 > 0 or event_id = 0"), e.where("event_id % 10 > 0 or event_id = 10"), k, k, [F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")], optional=True)
 
 
+@query("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON nullif(a.event_id, 0) IS NOT DISTINCT FROM nullif(b.event_id, 0)")
+def one_to_one_optional_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event; the key is null for one of them, so it is unique on each side."""
+    e, k = stream(spark, sf_dir, "events").df, F.nullif(F.col("event_id"), F.lit(0))
+    return one_to_one(e, e, k, k, [F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")], optional=True)
+
+
 @query("SELECT o.o_orderkey, o.o_orderstatus, l.l_partkey, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey")
 def one_to_many_orders_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_to_many(stream(spark, sf_dir, "orders").df, stream(spark, sf_dir, "lineitem").df, F.col("o_orderkey"), F.col("l_orderkey"), [F.col(c) for c in ("l.o_orderkey", "l.o_orderstatus", "r.l_partkey", "r.l_quantity")])

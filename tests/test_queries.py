@@ -72,6 +72,13 @@ def test_the_consuming_join_takes_every_event(spark, duck):
     assert got.where("x = y").distinct().count() == got.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
+def test_the_optional_key_join_takes_every_event_once(spark, duck):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["one_to_one_optional_key_all"](spark, SF)
+    assert got.where("x = y").distinct().count() == got.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
