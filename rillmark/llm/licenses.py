@@ -6,7 +6,10 @@ the fixed templates below: whole, in parts, and mixed with other words; paragrap
 other words and of scattered template words are the class `unknown`.  Its bias is then raised
 until no made-up unknown paragraph of a held-back set passes the threshold.
 
-Scoring is a row-wise expression: a paragraph (line) that holds an anchor - an n-gram without which no
+A paragraph is a line, and also the lines between two blank lines taken together, as notices
+are wrapped, and each two neighbours of them: a family that only these show is one more paragraph.
+
+Scoring is a row-wise expression: a paragraph that holds an anchor - an n-gram without which no
 family can pass - gets each family's sum of weights, then a softmax.  A family is
 reported if its probability is at least THRESHOLD and the paragraph holds
 at least CONFIRM of the n-grams of some template of the family.  Texts are neither
@@ -160,9 +163,24 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return F.element_at(F.transform(F.array(z), decide), 1)
 
-    lines = F.filter(F.transform(F.split(text, "\n"), _norm), anchored)
     none = F.array().cast("array<int>")
-    found = docs.select(F.col(id_col).alias("doc_id"), F.when(some, F.transform(lines, family)).otherwise(none).alias("found"))
+
+    def block(p: Column) -> Column:
+        """What a block's lines hold, and the families that only its pairs of lines or the whole of it show."""
+        own = F.transform(F.filter(F.transform(F.split(p, "\n"), _norm), anchored), family)
+        lines = F.split(p, "\n")
+        pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat_ws("\n", a, b))
+        whole = F.transform(F.filter(F.transform(F.filter(F.concat(F.array(p), pairs), lambda t: F.contains(t, F.lit("\n"))), _norm), anchored), family)
+
+        def both(v: Column) -> Column:
+            more = F.filter(F.array_distinct(v["whole"]), lambda k: (k < len(FAMILIES)) & ~F.array_contains(v["own"], k))
+            # The lines of a wrapped notice are not unknown paragraphs.
+            return F.when(F.size(more) > 0, F.concat(F.filter(v["own"], lambda k: k < len(FAMILIES)), more)).otherwise(v["own"])
+
+        return F.element_at(F.transform(F.array(F.struct(own.alias("own"), whole.alias("whole"))), both), 1)
+
+    blocks = F.split(text, r"\n[ \t\r]*(?:\n[ \t\r]*)+")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.when(some, F.flatten(F.transform(blocks, block))).otherwise(none).alias("found"))
     known = F.filter("found", lambda k: k < len(FAMILIES))
     labels = F.array(*map(F.lit, FAMILIES))
     return found.select(

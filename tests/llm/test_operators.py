@@ -320,6 +320,15 @@ def test_licences(spark):
         assert (r["n_paragraphs"], r["families"]) == want.get(r["doc_id"], (0, "")), r
 
 
+def test_wrapped_licences(spark):
+    gpl = "You can redistribute it and/or modify\nit under the terms of the GNU {}General Public\nLicense as published by the Free Software Foundation, either version\n3 of the License, or (at your option) any later version."
+    rng = random.Random(14)
+    rows = [(1, gpl.format("")), (2, f"{prose(rng, 40)}\n\n{gpl.format('Lesser ')}\n \n{prose(rng, 40)}"), (3, "Released under\nthe MIT License.\n\nLicensed under the Apache\n# License, Version 2.0."), (4, "Released under the\n\nMIT License.")]
+    got = {r["doc_id"]: (r["n_paragraphs"], r["n_unknown"], r["families"]) for r in licenses.licences(docs(spark, rows)).collect()}
+    assert got[1] == (1, 0, "gpl-3.0") and got[2] == (1, 0, "lgpl-3.0") and got[3] == (2, 0, "apache-2.0,mit")
+    assert got[4][0] == 0
+
+
 # 7
 
 
