@@ -177,7 +177,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             # The lines of a wrapped notice are not unknown paragraphs.
             return F.when(F.size(more) > 0, F.concat(F.filter(v["own"], lambda k: k < len(FAMILIES)), more)).otherwise(v["own"])
 
-        return F.element_at(F.transform(F.array(F.struct(own.alias("own"), whole.alias("whole"))), both), 1)
+        # No line or pair holds an anchor that the block doesn't, so most blocks are read once.
+        return F.when(F.size(F.filter(F.transform(F.array(p), _norm), anchored)) > 0, F.element_at(F.transform(F.array(F.struct(own.alias("own"), whole.alias("whole"))), both), 1)).otherwise(none)
 
     blocks = F.split(text, r"\n[ \t\r]*(?:\n[ \t\r]*)+")
     found = docs.select(F.col(id_col).alias("doc_id"), F.when(some, F.flatten(F.transform(blocks, block))).otherwise(none).alias("found"))
