@@ -12,8 +12,9 @@ a key are taken in the order of their time within each micro-batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, Row, StructField, StructType
@@ -75,12 +76,33 @@ class _Meeting(StatefulProcessor):
         pass
 
 
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which keyed state of several kinds needs; the session's own setting comes back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
 def consuming(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, left_order: Column, right_order: Column, many: bool = False) -> DataFrame:
-    """(l, r) structs of pairs that met, each from state; needs the RocksDB state store.  Orders: 64-bit numbers."""
+    """(l, r) structs of pairs that met, each from state; start the query within `state_store`.  Orders: 64-bit numbers.
+
+    Rows rest in the state as JSON, with times to the microsecond.
+    """
 
     def side(df: DataFrame, key: Column, order: Column, n: int) -> DataFrame:
-        return df.select(key.alias("key"), F.lit(n).alias("side"), order.cast("long").alias("order"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary").alias("payload"))
+        return df.select(key.alias("key"), F.lit(n).alias("side"), order.cast("long").alias("order"), F.to_json(F.struct("*"), {**_EXACT, "ignoreNullFields": "false"}).cast("binary").alias("payload"))
 
     both = side(left, left_key, left_order, 0).union(side(right, right_key, right_order, 1)).where("key is not null")
     met = both.groupBy("key").transformWithState(_Meeting(many), StructType([StructField("l", BinaryType()), StructField("r", BinaryType())]), "Append", "None")
-    return met.select(F.from_json(F.col("l").cast("string"), left.schema).alias("l"), F.from_json(F.col("r").cast("string"), right.schema).alias("r"))
+    return met.select(F.from_json(F.col("l").cast("string"), left.schema, _EXACT).alias("l"), F.from_json(F.col("r").cast("string"), right.schema, _EXACT).alias("r"))

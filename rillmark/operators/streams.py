@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from rillmark.functions.monoids import Monoid
 
 
+@dataclass(frozen=True)
+class Key:
+    """A single key of each row, so nothing is exploded; a null key is a key."""
+
+    column: Column
+
+
 @dataclass(frozen=True)
 class Stream:
     """Rows with a name.  `persisted`: written as a topic, so it can be indexed; `watermark`: its event time."""
@@ -36,18 +43,18 @@ class Stream:
         """Adds what a function with harmless side effects returns; rows for which it is null are dropped.  It may run more than once."""
         return replace(self, df=self.df.withColumn(name, udf(value)).where(F.col(name).isNotNull()), persisted=False)
 
-    def group_by(self, keys: Column) -> Grouped:
-        """keys: an array; a row counts once for each element, repeats too, and not at all for an empty or null array."""
+    def group_by(self, keys: Column | Key) -> Grouped:
+        """keys: a Key, or an array; a row counts once for each element, repeats too, and not at all for an empty or null array."""
         return Grouped(self, keys)
 
 
 @dataclass(frozen=True)
 class Grouped:
     stream: Stream
-    keys: Column
+    keys: Column | Key
 
     def exploded(self) -> DataFrame:
-        return self.stream.df.withColumn("key", F.explode(self.keys))
+        return self.stream.df.withColumn("key", self.keys.column if isinstance(self.keys, Key) else F.explode(self.keys))
 
     def partials(self, monoid: Monoid, value: Column) -> DataFrame:
         """(key, partial columns) of these rows."""

@@ -33,7 +33,6 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     spark = SparkSession.builder.master(f"local[{cores}]").appName("rillmark").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
@@ -45,3 +45,56 @@ def custom_stream(spark: SparkSession, name: str, schema: StructType, read: Call
 
     spark.dataSource.register(Source)
     return spark.readStream.format(name).load()
+
+
+class _Slice(InputPartition):
+    def __init__(self, part: int, start: int, end: int) -> None:
+        super().__init__(part)
+        self.part, self.start, self.end = part, start, end
+
+
+class _PartsReader(DataSourceStreamReader):
+    def __init__(self, latest: Callable[[], list[int]], read: Callable[[int, int, int], Iterator[tuple]], setup: Callable[[], None] | None, teardown: Callable[[], None] | None) -> None:
+        self.latest, self.pull, self.teardown = latest, read, teardown
+        if setup:
+            setup()
+
+    def initialOffset(self) -> dict:
+        return {"at": [0] * len(self.latest())}
+
+    def latestOffset(self) -> dict:
+        return {"at": self.latest()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Slice]:
+        return [_Slice(k, a, b) for k, (a, b) in enumerate(zip(start["at"], end["at"], strict=True)) if b > a]
+
+    def read(self, own: _Slice) -> Iterator[tuple]:
+        return iter(self.pull(own.part, own.start, own.end))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        if self.teardown:
+            self.teardown()
+
+
+def custom_stream_parts(spark: SparkSession, name: str, schema: StructType, latest: Callable[[], list[int]], read: Callable[[int, int, int], Iterator[tuple]], setup: Callable[[], None] | None = None, teardown: Callable[[], None] | None = None) -> DataFrame:
+    """A source in parts that executors read in parallel: latest() is how many items each part has; read(part, start, end) gives these, the same when asked again.
+
+    setup runs before the first look and teardown when the query stops, both beside the driver.  A watermark is given with Job.source.
+    """
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> StructType:
+            return schema
+
+        def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: ARG002  its name is given
+            return _PartsReader(latest, read, setup, teardown)
+
+    spark.dataSource.register(Source)
+    return spark.readStream.format(name).load()

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import monoids as M
-from rillmark.operators.streams import Stream
+from rillmark.operators.streams import Key, Stream
 from rillmark.plans.jobs import Job, JobConfig
-from rillmark.sources.pull import custom_stream
+from rillmark.sources.pull import custom_stream, custom_stream_parts
 from rillmark.sources.push import EXISTED, FAILED, QUEUE_FULL, SUCCESS, BatchWriterConfig, is_failed, push_stream
 from rillmark.streaming.storage import Topic
 from pyspark.sql.types import LongType, StructField, StructType
@@ -102,3 +102,94 @@ def test_push_writer(spark, tmp_path):
     assert later.result(60) == EXISTED and sorted(r["x"] for r in topic.read().collect()) == [1, 3]
     assert writer.log.at() == 10
     assert writer.write((5,)).result(1) == FAILED and is_failed(QUEUE_FULL) and not is_failed(EXISTED)
+
+
+def test_push_keys_outlive_writers_and_hold_between_them(spark, tmp_path):
+    schema, config = StructType([StructField("x", LongType())]), BatchWriterConfig(max_items=4, max_delay_s=0.1)
+    path, results = f"{tmp_path}/p", []
+    topic, first = push_stream(spark, path, schema, config)
+    results += [first.write((k,), b"%d" % k) for k in range(6)]
+    first.close()
+    _, again = push_stream(spark, path, schema, config)  # after a restart
+    assert [again.write((100 + k,), b"%d" % k).result(60) for k in (0, 5)] == [EXISTED, EXISTED]
+    _, other = push_stream(spark, path, schema, config)
+    rng = random.Random(1)
+    for k in range(60):  # two writers, the same keys
+        results.append(rng.choice((again, other)).write((k,), b"%d" % rng.randrange(30)))
+    again.close()
+    other.close()
+    done = [f.result(60) for f in results]
+    keys = [bytes(r["_key"]) for r in topic.read().collect()]
+    assert len(keys) == len(set(keys)) == done.count(SUCCESS) and set(done) == {SUCCESS, EXISTED}
+
+
+def test_watermarks_are_as_of_what_a_step_has_read(spark, tmp_path):
+    """A table that reads a topic in files of one batch each: its watermark follows its own batches, not the topic's."""
+    source = Topic(spark, f"{tmp_path}/source")
+    for k, ts in enumerate((30, 10, 50)):
+        source.append(spark.createDataFrame([(k, 1, 1, ts)], SCHEMA), k, 1)
+    job = Job(JobConfig(spark, f"{tmp_path}/job", files_per_batch=1))
+    job.source("s", source.stream(source.read().schema, 1), F.col("ts"))
+    job.run("kept", job.pipe("s", lambda s: s.map("id", "k")))
+    job.run("n", job.aggregate("kept", Key(F.col("k")), M.Count, F.lit(1)))
+    job.run("none", job.pipe("s", lambda s: s).without_watermark())
+    job.start()
+    assert [job.watermark("kept", v) for v in (0, 1, 2)] == [30, 30, 50]
+    assert [tuple(r) for r in job.table_at("n").watermarks.table().collect()] == [(0, 30), (1, 30), (2, 50)] or job.watermark("n") == 50
+    assert job.watermark("s") == 50 and job.watermark("none") is None
+    other = Job(JobConfig(spark, f"{tmp_path}/other"))
+    other.existing_watermarked("kept", job.path("kept"))
+    other.run("copy", other.pipe("kept", lambda s: s.map("id")))
+    other.start()
+    assert other.watermark("copy") == 50 and other.metrics()["copy"]["rows"] == 3
+
+
+def test_lazy_steps_batches_of_rows_and_restarts(spark, tmp_path):
+    source = Topic(spark, f"{tmp_path}/source")
+    source.write(spark.createDataFrame(rows_of(2, 40), SCHEMA).coalesce(1))
+    job, sizes, failed = Job(JobConfig(spark, f"{tmp_path}/job", partitions=1)), [], []
+    job.existing("s", source.path)
+    job.run("big", job.pipe("s", lambda s: s.filter("v > -20")).lazily())
+    job.run("kept", job.pipe("big", lambda s: s.map("id", "v")))
+
+    def effect(df, n):
+        if not failed:
+            failed.append(n)
+            raise RuntimeError("the first time")
+        sizes.append(df.count())
+
+    job.run("sink", job.at_least_once("kept", effect).with_batch_size(rows=7))
+    job.start(restarts=1, throttle=0.1)
+    want = sum(r[2] > -20 for r in rows_of(2, 40))
+    assert sum(sizes) == want and max(sizes) <= 7 and job.list_topics() == ["kept"]
+    assert job.metrics()["sink"]["failures"] == 1 and job.metrics()["kept"]["rows"] == want
+    with pytest.raises(TypeError):
+        job.pipe("s", lambda s: s).watermark_by(F.col("ts")).lazily()
+
+
+def test_a_running_query_is_started_again(spark, tmp_path):
+    source = Topic(spark, f"{tmp_path}/source")
+    source.write(spark.createDataFrame(rows_of(1, 5), SCHEMA))
+    job, seen = Job(JobConfig(spark, f"{tmp_path}/job")), []
+    job.existing("s", source.path)
+
+    def effect(df, n):
+        seen.append(n)
+        if len(seen) == 1:
+            raise RuntimeError("once")
+
+    job.run("sink", job.at_least_once("s", effect))
+    queries = job.start(available_now=False, every="0 seconds")
+    queries = job.supervise(queries, 8, throttle=0.1)
+    for q in queries:
+        q.stop()
+    assert len(seen) >= 2 and job.metrics()["sink"]["failures"] == 1
+
+
+def test_custom_stream_in_parts(spark, tmp_path):
+    df = custom_stream_parts(spark, "parts", StructType([StructField("part", LongType()), StructField("x", LongType())]), lambda: [3, 0, 5], lambda part, a, b: [(part, k) for k in range(a, b)])
+    out = Topic(spark, f"{tmp_path}/out")
+    query = df.writeStream.option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda d, n: out.append(d, n)).trigger(processingTime="0 seconds").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["part"], r["x"]) for r in out.read().collect()) == [(0, 0), (0, 1), (0, 2), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.operators.joins import consuming, one_to_many, one_to_one
+from rillmark.operators.joins import consuming, one_to_many, one_to_one, state_store
 from rillmark.streaming.storage import Topic
 
 BOTH = ["l", "r"]
@@ -45,6 +45,8 @@ def test_consuming_join_in_order_of_arrival(spark, tmp_path, many):
     rows = spark.readStream.schema("side int, at long, k long, v long").parquet(folder)
     met = consuming(rows.where("side = 0"), rows.where("side = 1"), F.col("k"), F.col("k"), F.col("at"), F.col("at"), many)
     at = Topic(spark, f"{tmp_path}/out")
-    met.select("l.v", F.col("r.v").alias("w")).writeStream.option("checkpointLocation", f"{tmp_path}/check").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        query = met.select("l.v", F.col("r.v").alias("w")).writeStream.option("checkpointLocation", f"{tmp_path}/check").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start()
+    query.awaitTermination()
     got = sorted((r["v"], r["w"]) for r in at.read().collect())
     assert got == ([(100, 10), (100, 11), (101, 12)] if many else [(100, 10), (101, 11)])

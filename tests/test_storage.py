@@ -1,3 +1,7 @@
+import random
+import threading
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,23 +15,31 @@ def strings(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
 
 
-def test_topic_reads_counts_and_independent_readers(spark, tmp_path):
-    t = Topic(spark, f"{tmp_path}/t")
-    t.write(strings(spark, "1", "2", "3", "4", "5"))
-    a, b = Reader(t, "tr"), Reader(t, "tr2")
-    assert [[r["value"] for r in a.read(2)] for _ in range(4)] == [["1", "2"], ["3", "4"], ["5"], []]
-    assert [r["value"] for r in b.read(2)] == ["1", "2"]
-    assert t.count().first()["n"] == 5
-
-
-def test_reads_cross_commits(spark, tmp_path):
-    t, n = Topic(spark, f"{tmp_path}/t"), iter(range(1, 16))
-    for _ in range(3):
-        t.write(strings(spark, *(str(next(n)) for _ in range(5))))
-    r = Reader(t, "r")
-    assert [[int(x["value"]) for x in r.read(k)] for k in (3, 3, 4, 1, 1, 2, 5)] == [[1, 2, 3], [4, 5, 6], [7, 8, 9, 10], [11], [12], [13, 14], [15]]
-    assert [int(x["value"]) for x in t.peek(100).collect()] == list(range(1, 16))
-    assert [x["value"] for x in t.get(0, 1, 2).collect()] == ["8"]
+@pytest.mark.parametrize("seed", [3, 4])
+def test_readers_see_what_a_list_of_each_partition_holds(spark, tmp_path, seed):
+    """Random commits to random partitions; readers of random names take random numbers of rows."""
+    rng, t = random.Random(seed), Topic(spark, f"{tmp_path}/t")
+    kept: dict[int, list[int]] = {p: [] for p in range(3)}
+    for ver in range(4):
+        rows = [(rng.randrange(3), rng.randrange(1000)) for _ in range(rng.randint(1, 30))]
+        assert t.append(spark.createDataFrame(rows, "p int, x int"), ver, 2, F.col("p"), ("x",))
+        for p in kept:
+            kept[p] += sorted(x for q, x in rows if q == p)
+    at: dict[tuple[str, int], int] = {}
+    readers = {n: Reader(t, n) for n in ("left", "right")}
+    for _ in range(12):
+        name, p, n = rng.choice(list(readers)), rng.randrange(3), rng.randint(1, 25)
+        begin = at.get((name, p), 0)
+        assert [r["x"] for r in readers[name].read(n, p)] == kept[p][begin : begin + n]
+        at[name, p] = min(begin + n, len(kept[p]))
+    assert {(n, p) for n, r in readers.items() for p in r.checkpoints()} == {k for k, n in at.items() if n}
+    assert {r["_pid"]: r["n"] for r in t.partition_counts().collect()} == {p: len(x) for p, x in kept.items() if x}
+    assert t.count().first()["n"] == sum(map(len, kept.values()))
+    some = rng.choice(t.read().collect())
+    assert [r["x"] for r in t.get(some["_pid"], some["_ver"], some["_idx"]).collect()] == [some["x"]]
+    fresh = Reader(t, "any")
+    seen = [r["x"] for _ in range(60) for r in fresh.read(9)]
+    assert len(seen) > 0 and set(seen) <= {x for own in kept.values() for x in own}
 
 
 def test_partition_counts(spark, tmp_path):
@@ -42,18 +54,28 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert [r["value"] for r in t.read().collect()] == ["a"]
 
 
-def test_index_lookups_ranges_and_counts(spark, tmp_path):
-    t = Topic(spark, f"{tmp_path}/t")
-    for rows in ([("hello", "1"), ("world", "1"), ("abc", "2")], [("def", "2"), ("foo", "1")], [("bar", "3"), ("baz", "2")]):
-        t.write(spark.createDataFrame(rows, "payload string, key string").coalesce(1))
+@pytest.mark.parametrize("seed", [5, 6])
+def test_an_index_is_a_dict_of_lists(spark, tmp_path, seed):
+    """Random rows with zero to three keys, over several commits."""
+    rng, t, held = random.Random(seed), Topic(spark, f"{tmp_path}/t"), defaultdict(list)
+    for ver in range(3):
+        rows = [(1000 * ver + i, [rng.choice("pqrstuv") for _ in range(rng.randint(0, 3))]) for i in range(rng.randint(5, 40))]
+        t.append(spark.createDataFrame(rows, "id int, keys array<string>"), ver, 1, F.lit(0), ("id",))
+        for i, keys in rows:
+            for k in keys:
+                held[k].append(i)
     rows = t.read()
-    ix = Index(entries(rows, F.array("key")))
-    fetched = {k: [r["payload"] for r in ix.fetch(rows, k).orderBy("_ver", "_idx").collect()] for k in "123"}
-    assert fetched == {"1": ["hello", "world", "foo"], "2": ["abc", "def", "baz"], "3": ["bar"]}
-    assert [ix.count(k).first()["n"] for k in "1234"] == [3, 3, 1, 0]
-    assert [tuple(r) for r in ix.counts("1", "4").collect()] == [("1", 3), ("2", 3), ("3", 1)]
-    assert [r["key"] for r in ix.range("1", "2").collect()] == ["1"] * 3 + ["2"] * 3
-    assert [r["key"] for r in ix.range("1", "3", limit=2, reverse=True).collect()] == ["3", "2"]
+    ix = Index(entries(rows, F.col("keys")))
+    for k in "pqrstuvw":
+        assert sorted(r["id"] for r in ix.fetch(rows, k).collect()) == sorted(held.get(k, []))
+        assert ix.count(k).first()["n"] == len(held.get(k, []))
+        vers = [r["_ver"] for r in ix.lookup(k).collect()]
+        assert vers == sorted(vers) == [i // 1000 for i in sorted(held.get(k, []))]
+    low, high = sorted(rng.sample("pqrstuv", 2))
+    inside = sorted(k for k in held if low <= k <= high)
+    assert [tuple(r) for r in ix.counts(low, high).collect()] == [(k, len(held[k])) for k in inside]
+    assert [r["key"] for r in ix.range(low, high).collect()] == [k for k in inside for _ in held[k]]
+    assert [r["key"] for r in ix.range(low, high, limit=4, reverse=True).collect()] == [k for k in reversed(inside) for _ in held[k]][:4]
 
 
 def partial(spark, rows, monoid):
@@ -103,3 +125,34 @@ def test_waiting_dumping_and_listing(spark, tmp_path):
     assert t.wait(timeout=0.1) and not t.wait(after=0, timeout=0.1)
     assert [r["value"] for r in t.dump()] == ["a", "b"] and list_topics(spark, str(tmp_path)) == ["step"]
     assert lag(9, 4) == 5 and lag(None, 4) is None
+
+
+def test_writers_that_race_lose_nothing(spark, tmp_path):
+    t, ids = Topic(spark, f"{tmp_path}/t"), []
+
+    def write(k):
+        for j in range(4):
+            ids.append(t.write(strings(spark, f"{k}-{j}")))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert sorted(ids) == list(range(12)) == t.batch_ids()
+    assert sorted(r["value"] for r in t.read().collect()) == sorted(f"{k}-{j}" for k in range(3) for j in range(4))
+
+
+def test_a_commit_whose_writer_died_is_finished_by_others(spark, tmp_path):
+    t = Topic(spark, f"{tmp_path}/t")
+    strings(spark, "a").selectExpr("value", "0 as _pid", "cast(0 as long) as _ver", "cast(0 as long) as _idx").write.parquet(f"{t.path}/_staging-dead")
+    assert t.claim("_claims/0", "_staging-dead") and not t.claim("_claims/0", "other")
+    assert not t.append(strings(spark, "b"), 0)  # a replay
+    assert t.write(strings(spark, "c")) == 1
+    assert [r["value"] for r in t.dump()] == ["a", "c"] and [n for n in t.names() if n.startswith("_staging")] == []
+
+
+def test_waiting_for_a_partition(spark, tmp_path):
+    t = Topic(spark, f"{tmp_path}/t")
+    t.append(strings(spark, "a"), 0, 1, F.lit(2))
+    assert t.wait(pid=2, timeout=0.1) and not t.wait(pid=1, timeout=0.1) and not t.wait(after=0, pid=2, timeout=0.1)
