@@ -11,8 +11,12 @@ from rillmark.functions import monoids as M
 from rillmark.functions.scalars import from_millis, millis, sliding, tumbling, words
 from rillmark.operators.index import Index, entries
 from rillmark.operators.joins import one_to_many, one_to_one
-from rillmark.operators.streams import Stream, merge
+from rillmark.operators.streams import Key, Stream
 from rillmark.plans.jobs import Job, JobConfig
+from rillmark.sources.push import BatchWriterConfig, push_stream
+from rillmark.streaming.storage import Reader, Topic, WatermarkLog, lag
+from rillmark.streaming.tables import AggrTable
+from rillmark.streaming.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,9 +42,9 @@ def job(spark: SparkSession, sf_dir: str, *tables: str) -> Job:
     return out
 
 
-def one(c: Column | str) -> Column:
+def one(c: Column | str) -> Key:
     """A single key."""
-    return F.array(c)
+    return Key(F.col(c) if isinstance(c, str) else c)
 
 
 def keyed(df: DataFrame, **names: str) -> DataFrame:
@@ -53,6 +57,18 @@ def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"_pid": (F.col("event_id") % 4).cast("int"), "_ver": F.floor(F.col("event_id") / 1000).cast("long"), "_idx": F.col("event_id")})
 
 
+COMMITS = 3
+_VER = f"CAST(floor(event_id / 100) AS BIGINT) % {COMMITS}"
+
+
+def written(spark: SparkSession, sf_dir: str, partitions: int = 4) -> Topic:
+    """`events` as a topic of COMMITS commits: partitions by event_id, in each the events in its order."""
+    out, df = Topic(spark, f"{work_dir(spark, 'topic')}/events/data"), stream(spark, sf_dir, "events").df
+    for ver in range(COMMITS):
+        out.append(df.where(F.floor(F.col("event_id") / 100) % COMMITS == ver), ver, partitions, F.col("event_id") % partitions, ("event_id",))
+    return out
+
+
 @query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = job(spark, sf_dir, "documents")
@@ -89,6 +105,12 @@ for _bits, _signed in ((8, True), (8, False), (16, True), (16, False), (32, True
     query(_wrap_sql(_bits, _signed))(_wrap(_bits, _signed))
 
 
+@query(f"SELECT user_id, CAST(CASE WHEN low >= {1 << 63}::HUGEINT THEN low - {1 << 64}::HUGEINT ELSE low END AS BIGINT) AS total FROM (SELECT user_id, CAST(sum(CAST(event_id % 10 AS HUGEINT) * 922337203685477580) AS HUGEINT) % {1 << 64}::HUGEINT AS low FROM events GROUP BY user_id)")
+def sum_wrap_int64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = F.col("event_id") % 10 * F.lit(922337203685477580)
+    return keyed(stream(spark, sf_dir, "events").group_by(one("user_id")).aggregate(M.Sum(64, True), big), user_id="key", total="value")
+
+
 @query("SELECT event_type, min(event_id) AS min_i, max(event_id) AS max_i, min(value) AS min_d, max(value) AS max_d, min(CAST(value AS FLOAT)) AS min_f, max(CAST(value AS FLOAT)) AS max_f FROM events GROUP BY event_type")
 def min_max_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.struct(F.col("event_id").alias("min_i"), F.col("event_id").alias("max_i"), F.col("value").alias("min_d"), F.col("value").alias("max_d"), F.col("value").cast("float").alias("min_f"), F.col("value").cast("float").alias("max_f"))
@@ -113,16 +135,9 @@ def pairwise_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir, "customer").group_by(one("c_nationkey")).aggregate(M.Pairwise("time_elapsed", "num_finished"), v).select(F.col("key").alias("nation"), "value.*")
 
 
-@query("SELECT l_orderkey AS k, round(product(l_quantity), 2) AS p FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1 HAVING count(*) <= 4")
-def product_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stream(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").group_by(one("l_orderkey"))
-    out = s.aggregate(M.Tuple(p=M.Product, n=M.Count), F.struct(F.col("l_quantity").alias("p"), F.lit(1).alias("n")))
-    return out.where("value.n <= 4").select(F.col("key").alias("k"), F.round("value.p", 2).alias("p"))
-
-
 @query("SELECT l_orderkey AS k, product(l_quantity) AS p, count(*) AS n FROM lineitem GROUP BY 1")
-def product_by_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every order; products are not rounded, so they compare by relative tolerance."""
+def product_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every order; products of whole numbers this size are exact."""
     v = F.struct(F.col("l_quantity").alias("p"), F.lit(1).alias("n"))
     return stream(spark, sf_dir, "lineitem").group_by(one("l_orderkey")).aggregate(M.Tuple(p=M.Product, n=M.Count), v).select(F.col("key").alias("k"), "value.*")
 
@@ -173,14 +188,8 @@ def one_to_one_self_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_to_one(e, e, F.col("event_id"), F.col("event_id"), [F.col(c) for c in ("l.event_id", "l.user_id", "r.event_type")])
 
 
-@query("SELECT a.event_id AS x, b.event_id AS y FROM (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN event_id END AS k FROM events WHERE event_id % 10 > 0 OR event_id = 0) a JOIN (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN event_id END AS k FROM events WHERE event_id % 10 > 0 OR event_id = 10) b ON a.k IS NOT DISTINCT FROM b.k")
-def one_to_one_optional_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = stream(spark, sf_dir, "events").df, F.when(F.col("event_id") % 10 > 0, F.col("event_id"))
-    return one_to_one(e.where("event_id % 10 > 0 or event_id = 0"), e.where("event_id % 10 > 0 or event_id = 10"), k, k, [F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")], optional=True)
-
-
 @query("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON nullif(a.event_id, 0) IS NOT DISTINCT FROM nullif(b.event_id, 0)")
-def one_to_one_optional_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_to_one_optional_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event; the key is null for one of them, so it is unique on each side."""
     e, k = stream(spark, sf_dir, "events").df, F.nullif(F.col("event_id"), F.lit(0))
     return one_to_one(e, e, k, k, [F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")], optional=True)
@@ -201,78 +210,118 @@ def nation_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_to_many(stream(spark, sf_dir, "nation").df, stream(spark, sf_dir, "customer").df, F.col("n_nationkey"), F.col("c_nationkey"), [F.col("l.n_name"), F.col("r.c_custkey")])
 
 
-def order_topology_job(j: Job, orders: str, lineitem: str) -> str:
-    """Two results for each order, joined one-to-one twice, then all of them by order: the reference's benchmark shape."""
-    j.run("fraud", j.pipe(orders, lambda s: s.map(F.col("o_orderkey").alias("order_id"), (F.col("o_totalprice") > 300_000).alias("is_fraud"))))
-    j.run("stock", j.pipe(orders, lambda s: s.map(F.col("o_orderkey").alias("order_id"), (F.col("o_orderstatus") != "P").alias("in_stock"))))
+def order_topology_job(j: Job, orders: str) -> str:
+    """Three lazy looks at each order, joined one-to-one twice, then all of them by order: the reference's benchmark shape."""
     key = F.col("order_id")
-    j.run("checked", j.one_to_one_join(orders, "fraud", F.col("o_orderkey"), key, [F.col("l.o_orderkey").alias("order_id"), F.col("l.o_orderpriority"), F.col("r.is_fraud")]))
-    j.run("joined", j.one_to_one_join("checked", "stock", key, key, [F.col("l.order_id"), F.col("l.is_fraud"), F.col("r.in_stock")]))
-    return j.run("good", j.aggregate("joined", one("order_id"), M.All, ~F.col("is_fraud") & F.col("in_stock")))
+    j.run("fraud", j.pipe(orders, lambda s: s.map(F.col("o_orderkey").alias("order_id"), (F.col("o_totalprice") > 300_000).alias("is_fraud"))).lazily())
+    j.run("stock", j.pipe(orders, lambda s: s.map(F.col("o_orderkey").alias("order_id"), (F.col("o_orderstatus") != "P").alias("in_stock"))).lazily())
+    j.run("details", j.pipe(orders, lambda s: s.benign_io("good_details", lambda c: c != "5-LOW", F.col("o_orderpriority")).map(F.col("o_orderkey").alias("order_id"), "good_details")).lazily())
+    j.run("checked", j.one_to_one_join("fraud", "stock", key, key, [F.col("l.order_id"), (~F.col("l.is_fraud") & F.col("r.in_stock")).alias("good")]).lazily())
+    j.run("joined", j.one_to_one_join("checked", "details", key, key, [F.col("l.order_id"), (F.col("l.good") & F.col("r.good_details")).alias("good")]).lazily())
+    return j.run("good", j.aggregate("joined", one("order_id"), M.All, F.col("good")))
 
 
-@query("SELECT o_orderkey AS order_id, bool_and(NOT o_totalprice > 300000 AND o_orderstatus <> 'P') AS good FROM orders GROUP BY 1")
+@query("SELECT o_orderkey AS order_id, bool_and(NOT o_totalprice > 300000 AND o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW') AS good FROM orders GROUP BY 1")
 def order_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = job(spark, sf_dir, "orders", "lineitem")
-    return keyed(j.batch(order_topology_job(j, "orders", "lineitem")), order_id="key", good="value")
+    j = job(spark, sf_dir, "orders")
+    return keyed(j.batch(order_topology_job(j, "orders")), order_id="key", good="value")
 
 
-def _partials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, M.Monoid]:
-    """Partial counts and means of each user, one set for each commit of the topic."""
-    m = M.Tuple(n=M.Count, mean=M.Mean)
-    rows = topic(spark, sf_dir)
-    v = F.struct(F.lit(1).alias("n"), F.col("value").alias("mean"))
-    return rows.groupBy(F.col("user_id").alias("key"), "_ver").agg(*m.lifted(v)), m
+def _table(spark: SparkSession, sf_dir: str) -> AggrTable:
+    """Counts and means of each user: a table with a set of partial results for each commit of the topic."""
+    m, log = M.Tuple(n=M.Count, mean=M.Mean), written(spark, sf_dir)
+    out = AggrTable(spark, work_dir(spark, "table"), m)
+    for ver in range(COMMITS):
+        own = log.read().where(F.col("_ver") == ver)
+        out.add(Stream(own).group_by(one("user_id")).partials(m, F.struct(F.lit(1).alias("n"), F.col("value").alias("mean"))), ver)
+    return out
+
+
+def _user(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias("user_id"), "value.n", F.round("value.mean", 6).alias("mean"))
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE user_id = 5 GROUP BY user_id")
 def row_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, m = _partials(spark, sf_dir)
-    return merge(p.where("key = 5"), m).select(F.col("key").alias("user_id"), "value.n", F.round("value.mean", 6).alias("mean"))
+    return _user(_table(spark, sf_dir).get_row(5))
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id BETWEEN 10 AND 20 GROUP BY user_id")
 def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, m = _partials(spark, sf_dir)
-    return merge(p.where(F.col("key").between(10, 20)), m).select(F.col("key").alias("user_id"), "value.n").orderBy("user_id")
+    return _user(_table(spark, sf_dir).get_row_range(10, 20)).drop("mean")
+
+
+@query("SELECT count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE user_id = 7")
+def row_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir).get_blocking(7, 30)
+    return spark.createDataFrame([(found["n"], round(found["mean"], 6))], "n long, mean double")
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
 def partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, m = _partials(spark, sf_dir)
-    return merge(p, m).select(F.col("key").alias("user_id"), "value.n", F.round("value.mean", 6).alias("mean"))
+    return _user(_table(spark, sf_dir).rows())
+
+
+@query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
+def table_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table held before it was set is gone; what came after counts."""
+    out, e = AggrTable(spark, work_dir(spark, "table"), M.Count), stream(spark, sf_dir, "events")
+
+    def part(s: Stream) -> DataFrame:
+        return s.group_by(one("event_type")).partials(M.Count, F.lit(1))
+
+    out.add(part(e), 0)
+    out.set(part(e.filter("event_type = 'click'")))
+    out.add(part(e.filter("event_type <> 'click'")), 5)
+    return keyed(out.rows(), key="key", n="value")
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hour's events come last, after the watermark passed them and the table was compacted: they count like all others."""
+    m, e = M.Tuple(n=M.Count, mean=M.Mean), stream(spark, sf_dir, "events")
+    out, early = AggrTable(spark, work_dir(spark, "table"), m), F.hour("ts") == 0
+
+    def part(s: Stream) -> DataFrame:
+        return s.group_by(one("user_id")).partials(m, F.struct(F.lit(1).alias("n"), F.col("value").alias("mean")))
+
+    out.add(part(e.filter(~early)), 0)
+    out.watermarks.set(0, e.df.agg(F.max(millis(F.col("ts")))).first()[0])
+    out.compact()
+    out.add(part(e.filter(early)), 1)
+    return _user(out.rows())
 
 
 @query("SELECT event_id % 4 AS pid, CAST(floor(event_id / 1000) AS BIGINT) AS ver, event_id AS idx FROM events WHERE event_type = 'click'")
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Index(entries(topic(spark, sf_dir), one("event_type"))).lookup("click")
+    found = Index(entries(topic(spark, sf_dir), F.array("event_type"))).lookup("click")
     return found.select(F.col("_pid").cast("bigint").alias("pid"), F.col("_ver").alias("ver"), F.col("_idx").alias("idx"))
 
 
 @query("SELECT event_type AS key, event_id AS idx FROM events WHERE event_type BETWEEN 'click' AND 'purchase'")
 def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Index(entries(topic(spark, sf_dir), one("event_type"))).range("click", "purchase").select("key", F.col("_idx").alias("idx"))
+    return Index(entries(topic(spark, sf_dir), F.array("event_type"))).range("click", "purchase").select("key", F.col("_idx").alias("idx"))
 
 
 @query("SELECT user_id AS key, event_id AS idx FROM events WHERE user_id BETWEEN 3 AND 30 ORDER BY user_id DESC, CAST(floor(event_id / 1000) AS BIGINT) DESC, event_id % 4 DESC, event_id DESC LIMIT 25")
 def index_range_reverse_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Index(entries(topic(spark, sf_dir), one("user_id"))).range(3, 30, limit=25, reverse=True).select("key", F.col("_idx").alias("idx"))
+    return Index(entries(topic(spark, sf_dir), F.array("user_id"))).range(3, 30, limit=25, reverse=True).select("key", F.col("_idx").alias("idx"))
 
 
 @query("SELECT count(*) AS n FROM events WHERE event_type = 'error'")
 def index_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Index(entries(topic(spark, sf_dir), one("event_type"))).count("error")
+    return Index(entries(topic(spark, sf_dir), F.array("event_type"))).count("error")
 
 
 @query("SELECT user_id AS key, count(*) AS n FROM events WHERE user_id BETWEEN 3 AND 40 GROUP BY user_id")
 def index_count_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Index(entries(topic(spark, sf_dir), one("user_id"))).counts(3, 40)
+    return Index(entries(topic(spark, sf_dir), F.array("user_id"))).counts(3, 40)
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE user_id = 7")
 def index_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topic(spark, sf_dir)
-    return Index(entries(rows, one("user_id"))).fetch(rows, 7).select("event_id", "user_id", "event_type")
+    return Index(entries(rows, F.array("user_id"))).fetch(rows, 7).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT w AS key, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w BETWEEN 'tha' AND 'the' GROUP BY w")
@@ -283,23 +332,38 @@ def index_words_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM events")
 def topic_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return written(spark, sf_dir).count()
 
 
 @query("SELECT CAST(event_id % 4 AS INTEGER) AS pid, count(*) AS n FROM events GROUP BY 1")
 def partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic(spark, sf_dir).groupBy(F.col("_pid").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+    return written(spark, sf_dir).partition_counts().withColumnRenamed("_pid", "pid")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 4 = 1 AND event_id > 101 ORDER BY event_id LIMIT 10")
+@query(f"SELECT event_id, event_type FROM events WHERE event_id % 4 = 1 AND ({_VER} > 0 OR event_id > 301) ORDER BY {_VER}, event_id LIMIT 10")
 def peek_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = (F.col("_pid") == 1) & ((F.col("_ver") > 0) | (F.col("_idx") > 101))
-    return topic(spark, sf_dir).where(past).orderBy("_ver", "_idx").limit(10).select("event_id", "event_type")
+    """The ten after event 301 in its partition."""
+    log = written(spark, sf_dir)
+    at = log.read().where("event_id = 301").first()
+    return log.peek(10, 1, (at["_ver"], at["_idx"])).select("event_id", "event_type")
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE event_id % 4 = 2 ORDER BY {_VER}, event_id LIMIT 5 OFFSET 7")
+def read_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's second read goes on where its first ended; another reader doesn't move it."""
+    log = written(spark, sf_dir)
+    own, other = Reader(log, "own"), Reader(log, "other")
+    own.read(7, 2)
+    other.read(3, 2)
+    return spark.createDataFrame([(r["event_id"], r["event_type"]) for r in own.read(5, 2)], "event_id long, event_type string")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id = 777")
 def topic_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic(spark, sf_dir).where("_pid = 1 and _ver = 0 and _idx = 777").select("event_id", "event_type")
+    """By the coordinates that an index has of it."""
+    log = written(spark, sf_dir)
+    at = Index(entries(log.read(), F.array("event_id"))).lookup(777).first()
+    return log.get(*at).select("event_id", "event_type")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1")
@@ -326,39 +390,55 @@ def epoch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir, "events").map("event_id", ms.alias("ms"), from_millis(ms).cast("timestamp_ntz").alias("back")).df
 
 
-def _watermarks(df: DataFrame, how: Callable[[Column], Column]) -> DataFrame:
-    """(ver, wm): the running maximum over commits.  There is a row for each commit, so one window over all is small."""
-    own = df.groupBy("_ver").agg(how(F.col("ts")).alias("own"))
-    earlier = own.select(F.col("_ver").alias("before"), F.col("own").alias("wm"))
-    return own.join(earlier, F.col("before") <= F.col("_ver")).groupBy(F.col("_ver").alias("ver")).agg(F.max("wm").alias("wm"))
+def _set_by_hand(spark: SparkSession, sf_dir: str) -> WatermarkLog:
+    """The greatest time of each commit of the topic, set one after the other."""
+    log, found = WatermarkLog(spark, f"{work_dir(spark, 'log')}/watermark"), written(spark, sf_dir).read().groupBy("_ver").agg(F.max(millis(F.col("ts"))).alias("wm"))
+    for ver, wm in sorted(tuple(r) for r in found.collect()):
+        log.set(ver, wm)
+    return log
 
 
-@query("SELECT ver, max(own) OVER (ORDER BY ver) AS wm FROM (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS ver, arg_max(ts, event_id) AS own FROM events GROUP BY 1)")
-def custom_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _watermarks(topic(spark, sf_dir), lambda ts: F.max_by(ts, "_idx"))
+_MS = "CAST(floor((epoch_us(ts) + 500) / 1000) AS BIGINT)"
 
 
-@query("SELECT ver, max(own) OVER (ORDER BY ver) AS wm FROM (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS ver, max(ts) AS own FROM events GROUP BY 1)")
-def source_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _watermarks(topic(spark, sf_dir), F.max)
+@query(f"SELECT ver, max(own) OVER (ORDER BY ver) AS wm FROM (SELECT {_VER} AS ver, max({_MS}) AS own FROM events GROUP BY 1)")
+def set_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_by_hand(spark, sf_dir).table()
 
 
-@query("SELECT max(ts) AS wm FROM events WHERE floor(event_id / 1000) <= 5")
+@query(f"SELECT max({_MS}) AS wm FROM events WHERE {_VER} <= 1")
 def watermark_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _watermarks(topic(spark, sf_dir), F.max)
-    return log.where("ver <= 5").agg(F.max_by("wm", "ver").alias("wm"))
+    return spark.createDataFrame([(_set_by_hand(spark, sf_dir).at(1),)], "wm long")
 
 
-@query("SELECT min(wm) AS wm FROM (SELECT max(ts) AS wm FROM events UNION ALL SELECT max(o_orderdate) FROM orders)")
-def default_watermark_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = stream(spark, sf_dir, "events").df.agg(F.max("ts").alias("wm"))
-    b = stream(spark, sf_dir, "orders").df.agg(F.max("o_orderdate").alias("wm"))
-    return a.union(b).agg(F.when(F.count("wm") == F.count(F.lit(1)), F.min("wm")).alias("wm"))
+@query(f"SELECT max({_MS}) - max({_MS}) FILTER ({_VER} = 0) AS ms FROM events")
+def watermark_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _set_by_hand(spark, sf_dir)
+    return spark.createDataFrame([(lag(log.at(), log.at(0)),)], "ms long")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query("SELECT c_nationkey AS nation, c_mktsegment AS segment, min(c_custkey) AS first FROM customer GROUP BY ALL")
 def dedupe_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream(spark, sf_dir, "events").df.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """Customers are pushed with the key (nation, segment), by one writer and, after it ended, by another: the first of each key is written."""
+    rows = stream(spark, sf_dir, "customer").df.select("c_custkey", "c_nationkey", "c_mktsegment")
+    path, schema, half = work_dir(spark, "push"), "c_custkey long, c_nationkey int, c_mktsegment string", rows.agg(F.max("c_custkey")).first()[0] // 2
+    for own in (rows.where(F.col("c_custkey") <= half), rows.where(F.col("c_custkey") > half)):
+        log, writer = push_stream(spark, path, spark.createDataFrame([], schema).schema, BatchWriterConfig(max_items=1 << 16, max_bytes=1 << 30, max_queue=1 << 20))
+        for r in own.orderBy("c_custkey").toLocalIterator():
+            writer.write(tuple(r), f"{r['c_nationkey']}-{r['c_mktsegment']}".encode())
+        writer.close()
+    return log.read().select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("first"))
+
+
+@query("SELECT CAST(epoch_ms(o_orderdate) AS BIGINT) AS wm FROM orders ORDER BY o_orderkey LIMIT 1")
+def push_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first item of the writer's batch."""
+    rows = stream(spark, sf_dir, "orders").df.select("o_orderkey", millis(F.col("o_orderdate").cast("timestamp")).alias("ms")).orderBy("o_orderkey").limit(20).collect()
+    _, writer = push_stream(spark, work_dir(spark, "push"), spark.createDataFrame([], "o_orderkey long, ms long").schema, BatchWriterConfig(max_items=20, max_delay_s=20), watermark=lambda item: item[1])
+    for r in rows:
+        writer.write(tuple(r), str(r["o_orderkey"]).encode())
+    writer.close()
+    return spark.createDataFrame([(writer.log.at(),)], "wm long")
 
 
 @query("SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue, count(*) AS n FROM lineitem GROUP BY 1")

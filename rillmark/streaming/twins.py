@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rillmark import queries as Q
 from rillmark.functions import monoids as M
-from rillmark.functions.scalars import words
+from rillmark.functions.scalars import millis, words
 from rillmark.operators.index import Index
-from rillmark.operators.joins import consuming
+from rillmark.operators.joins import consuming, state_store
 from rillmark.plans.jobs import Job, JobConfig
 from rillmark.session import ship
 from rillmark.streaming.storage import Folder, Topic
@@ -59,8 +59,8 @@ def word_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @twin(Q.ORACLE_SQL["order_topology"])
 def order_topology_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = job(spark, sf_dir, "orders", "lineitem")
-    good = Q.order_topology_job(j, "orders", "lineitem")
+    j = job(spark, sf_dir, "orders")
+    good = Q.order_topology_job(j, "orders")
     j.start()
     return Q.keyed(j.table_at(good).rows(), order_id="key", good="value")
 
@@ -92,20 +92,93 @@ def eventual_index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(j.topic("by_type").read()).counts("", "~")
 
 
-def _met_stream(spark: SparkSession, e: DataFrame, name: str) -> DataFrame:
-    met = consuming(e, e, F.col("event_id"), F.col("event_id"), F.col("event_id"), F.col("event_id"))
+def _met_stream(spark: SparkSession, met: DataFrame, name: str, schema: str) -> DataFrame:
     at = Topic(spark, f"{work_dir(spark, name)}/data")
-    query = met.select(F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")).writeStream.option("checkpointLocation", f"{at.path}-checkpoint").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start()
+    with state_store(spark):
+        query = met.writeStream.option("checkpointLocation", f"{at.path}-checkpoint").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start()
     query.awaitTermination()
-    return at.read("x long, y long").select("x", "y")
+    return at.read(schema).select(*met.columns)
 
 
-@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_id % 5 = 0")
+@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id")
 def consuming_join_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _met_stream(spark, streamed(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", "user_id"), "consuming")
+    e = streamed(spark, sf_dir, "events").select("event_id", "user_id")
+    met = consuming(e, e, F.col("event_id"), F.col("event_id"), F.col("event_id"), F.col("event_id"))
+    return _met_stream(spark, met.select(F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")), "consuming", "x long, y long")
 
 
-@twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id")
-def consuming_join_all_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event."""
-    return _met_stream(spark, streamed(spark, sf_dir, "events").select("event_id", "user_id"), "consuming-all")
+@twin("SELECT c_custkey, o_orderkey, make_timestamp(1600000000000000 + c_custkey * 1234567) AS at FROM customer JOIN orders ON c_custkey = o_custkey")
+def consuming_one_to_many_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders, whichever comes first; times keep their microseconds in the state."""
+    c = streamed(spark, sf_dir, "customer").select("c_custkey", F.timestamp_micros(F.lit(1600000000000000) + F.col("c_custkey") * 1234567).alias("at"))
+    o = streamed(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    met = consuming(c, o, F.col("c_custkey"), F.col("o_custkey"), F.col("c_custkey"), F.col("o_orderkey"), many=True)
+    return _met_stream(spark, met.select("l.c_custkey", "r.o_orderkey", F.col("l.at").cast("timestamp_ntz").alias("at")), "one-to-many", "c_custkey long, o_orderkey long, at timestamp_ntz")
+
+
+def _by_commit(spark: SparkSession, sf_dir: str) -> Topic:
+    """`events` in commits of one file, by event_id."""
+    return Q.written(spark, sf_dir, 1)
+
+
+@twin("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def existing_topic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = Job(JobConfig(spark, work_dir(spark, "job")))
+    j.existing("events", Q.written(spark, sf_dir).path)
+    j.run("n", j.aggregate("events", Q.one("user_id"), M.Count, F.lit(1)))
+    j.start()
+    return Q.keyed(j.table_at("n").rows(), user_id="key", n="value")
+
+
+@twin("SELECT event_id, event_type FROM events")
+def at_least_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink that writes what it sees to a topic."""
+    j = Job(JobConfig(spark, work_dir(spark, "job")))
+    j.existing("events", Q.written(spark, sf_dir).path)
+    seen = Topic(spark, f"{j.config.job_dir}/seen")
+    j.run("sink", j.at_least_once("events", lambda df, n: seen.append(df.select("event_id", "event_type"), n)))
+    j.start()
+    return seen.read().select("event_id", "event_type").distinct()
+
+
+_RUNNING = "SELECT ver, max(own) OVER (ORDER BY ver) AS wm FROM (SELECT {ver} AS ver, {own} AS own FROM events GROUP BY 1)"
+
+
+@twin(_RUNNING.format(ver=Q._VER, own=f"arg_max({Q._MS}, event_id)"))
+def custom_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch is a commit; its watermark is that of its last row."""
+    j = Job(JobConfig(spark, work_dir(spark, "job"), files_per_batch=1))
+    j.existing("events", _by_commit(spark, sf_dir).path)
+    j.run("kept", j.pipe("events", lambda s: s.map("event_id", "ts")).watermark_by(millis(F.col("ts"))))
+    j.start()
+    return j.watermark_log("kept").table()
+
+
+@twin(_RUNNING.format(ver=Q._VER, own=f"max({Q._MS})"))
+def source_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step's watermark from its source's; the step keeps no time itself."""
+    log = _by_commit(spark, sf_dir)
+    j = Job(JobConfig(spark, work_dir(spark, "job")))
+    j.source("events", log.stream(log.read().schema, 1), millis(F.col("ts")))
+    j.run("kept", j.pipe("events", lambda s: s.map("event_id")))
+    j.start()
+    return j.watermark_log("kept").table()
+
+
+@twin(f"SELECT min(wm) AS wm FROM (SELECT max({Q._MS}) AS wm FROM events UNION ALL SELECT CAST(max(epoch_ms(o_orderdate)) AS BIGINT) FROM orders)")
+def default_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a join of two steps, and of a table in another job that reads it with its watermark."""
+    j = job(spark, sf_dir, "events", "orders")
+    folder, paths = work_dir(spark, "sorted"), {}
+    for name, ts in (("events", "ts"), ("orders", "o_orderdate")):
+        log = Topic(spark, f"{folder}/{name}")
+        log.append(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("ms", millis(F.col(ts).cast("timestamp"))), 0, 1, F.lit(0), ("ms",))
+        paths[name] = j.existing(f"{name}_by_time", log.path)
+        j.run(f"own_{name}", j.pipe(paths[name], lambda s: s).watermark_by(F.col("ms")))
+    j.run("met", j.one_to_one_join("own_events", "own_orders", F.col("event_id"), F.col("o_orderkey"), [F.col("l.event_id")]))
+    j.start()
+    other = Job(JobConfig(spark, work_dir(spark, "job")))
+    other.existing_watermarked("met", j.path("met"))
+    other.run("n", other.aggregate("met", Q.one(F.lit(1)), M.Count, F.lit(1)))
+    other.start()
+    return spark.createDataFrame([(other.watermark("n"),)], "wm long")

@@ -61,21 +61,15 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_products_take_every_line(spark, duck):
     import __spark_entry__ as entry
 
-    got = entry.queries()["product_by_order_all"](spark, SF).agg({"n": "sum", "k": "count"}).first()
+    got = entry.queries()["product_by_order"](spark, SF).agg({"n": "sum", "k": "count"}).first()
     assert tuple(sorted(got)) == tuple(sorted(duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()))
 
 
-def test_the_consuming_join_takes_every_event(spark, duck):
+@pytest.mark.parametrize("name", ["consuming_join_stream", "one_to_one_optional_key"])
+def test_these_joins_take_every_event_once(spark, duck, name):
     import __spark_entry__ as entry
 
-    got = entry.queries()["consuming_join_all_stream"](spark, SF)
-    assert got.where("x = y").distinct().count() == got.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
-
-
-def test_the_optional_key_join_takes_every_event_once(spark, duck):
-    import __spark_entry__ as entry
-
-    got = entry.queries()["one_to_one_optional_key_all"](spark, SF)
+    got = entry.queries()[name](spark, SF)
     assert got.where("x = y").distinct().count() == got.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
