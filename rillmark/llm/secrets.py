@@ -1,17 +1,22 @@
 """Secret scans with a trigram inverted index, in DataFrame functions alone.
 
 Each rule's regex gives a Boolean query over trigrams that every match must hold
-(case folded).  The index has, for each block of 4096 consecutive ids, a posting list of
+(case folded).  The index has, for each block of about 4096 ids, a posting list of
 each trigram that some query uses; a block's lists are intersected and united as the
 query says, and only candidates are verified with the regex.  A rule without mandatory
 trigrams scans every text.
 
+The candidates (ids and a bit for each rule) are written, counted, and broadcast if they are LISTED
+rows at most, so no text is shuffled; beyond that only texts that hold all trigrams of
+some query are joined by id, and all others stay where they are.
+
 Only base rules decide n_assign, n_access, n_hex and base_spans; the other rules add
 spans.  Positions are code points, end exclusive.
 
 Defined results: a null text is empty and has no spans; rows with a null id are
 verified without the index; repeated ids share postings and are verified each by its
-own text; empty tables work; other columns stay as they are in redacted().
+own text; empty tables work; other columns, whatever their names, stay as they are, but
+a column named as the result of secrets() (`to`) is replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct ids of one index block at most.
-BLOCK_IDS = 4096
+from rillmark.llm.cluster import Scratch, free_names
+
+#: Rows of one index block, about; candidates that are broadcast at most; matches that one inner array grows by.
+BLOCK_IDS, LISTED, CHUNK = 4096, 1 << 20, 256
 MASK = "[redacted]"
 
 
@@ -154,7 +161,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     queries = {r: q for r, q in queries.items() if q is not True}
     names = {t: f"t{k}" for k, t in enumerate(sorted(set().union(*map(_trigrams, queries.values()))))}
     low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
-    block = F.floor(F.col("id") / F.lit(BLOCK_IDS)).alias("block")
+    block = F.pmod(F.xxhash64("id"), F.lit(-(-docs.count() // BLOCK_IDS) or 1)).alias("block")
     held = low.select("id", block, *(F.contains("low", F.lit(t)).alias(n) for t, n in names.items()))
     postings = held.groupBy("block").agg(*(F.collect_set(F.when(F.col(n), F.col("id"))).alias(n) for n in names.values()))
 
@@ -170,21 +177,41 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return met.groupBy("id").agg(F.bit_or("flag").alias("flags"))
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _folded(items: Column, made: str, step) -> Column:
+    """(at, out): step(state of (at, out), item) from the left; arrays grow by CHUNK items and are put together once, so long ones take linear time."""
+    none = F.array().cast(f"array<{made}>")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{made}>>").alias("out"))
+
+    def each(state: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out")))
+
+    def parts(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)))
+
+    return _bound(items, lambda all_: F.aggregate(parts(all_), first, each, lambda r: F.struct(r["at"].alias("at"), F.flatten(r["out"]).alias("out"))))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end, kind) of a rule's matches: what stands between matches tells where they are."""
+    """Array of (start, order, end, kind) of a rule's matches, of which there are some: what stands between matches tells where they are."""
     found, between = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
     size = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else found
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
+        start = state["at"] + x["p"]
+        end = start + x["m"]
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    def lengths(c: Column) -> Column:
+        return F.transform(c, lambda x: F.length(x))
 
-    rows = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("p"), m.alias("m"), F.get(size, i).alias("g")))
-    return F.aggregate(rows, first, step, lambda s: s["spans"])
+    rows = F.zip_with(F.zip_with(lengths(found), F.slice(lengths(between), F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("p"), m.alias("m"))), lengths(size), lambda x, g: F.struct(x["p"].alias("p"), x["m"].alias("m"), g.alias("g")))
+    return _folded(rows, "struct<start:int,order:int,end:int,kind:string>", step)["out"]
 
 
 def _long_run(rule: Rule) -> Rule:
@@ -194,22 +221,37 @@ def _long_run(rule: Rule) -> Rule:
     return rule
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with a column of all spans: array<struct<start,order,end,kind>>, sorted by start, then rule."""
-    flags = candidates(docs, rules, id_col, text_col).toDF("__id", "__flags")
-    both = docs.join(flags, docs[id_col] == flags["__id"], "left").drop("__id")
+def _holds(low: Column, q: Query) -> Column:
+    """Whether a lower-cased text satisfies a query."""
+    if isinstance(q, str):
+        return F.contains(low, F.lit(q))
+    return reduce(lambda a, b: a & b if q[0] == "and" else a | b, (_holds(low, x) for x in q[1]))
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, to: str = "spans", listed: int = LISTED) -> DataFrame:
+    """`docs` with a column `to` of all spans: array<struct<start,order,end,kind>>, sorted by start, then rule."""
+    key, flags, made = free_names([*docs.columns, to], "id", "flags", "made")
+    found = Scratch(docs.sparkSession, "secrets").keep(candidates(docs, rules, id_col, text_col)).toDF(key, flags)
+    queries = [q for q in (trigram_query(r.regex) for r in rules) if q is not True]
+    if not queries:
+        both = docs.withColumn(flags, F.lit(0))
+    elif found.count() <= listed:
+        both = docs.join(F.broadcast(found), docs[id_col] == found[key], "left").drop(key)
+    else:
+        may = F.coalesce(F.col(id_col).isNotNull() & reduce(lambda a, b: a | b, (_holds(F.lower(text_col), q) for q in queries)), F.lit(False))
+        some = docs.where(may)
+        both = some.join(found, some[id_col] == found[key], "left").drop(key).unionByName(docs.where(~may).withColumn(flags, F.lit(None).cast("int")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     cols = []
     for r, rule in enumerate(rules):
         scanned = _long_run(rule)
-        if trigram_query(rule.regex) is True:
-            on = text.rlike(scanned.regex)
-        else:
-            on = (F.coalesce(F.col("__flags"), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) | F.col(id_col).isNull()
-            on = on & text.rlike(scanned.regex)
+        on = text.rlike(scanned.regex)
+        if trigram_query(rule.regex) is not True:
+            on = ((F.coalesce(F.col(flags), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0) | F.col(id_col).isNull()) & on
         cols.append(F.when(on, _spans(text, scanned, r)).otherwise(none))
-    return both.withColumn("__spans", F.array_sort(F.concat(*cols))).drop("__flags").withColumnRenamed("__spans", "spans")
+    out = both.withColumn(made, F.array_sort(F.concat(*cols)))
+    return out.select(*(c for c in docs.columns if c != to), F.col(made).alias(to))
 
 
 def joined(spans: Column) -> Column:
@@ -219,15 +261,14 @@ def joined(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with each secret, overlapping ones as one, replaced by MASK; a text without secrets is as it was."""
-    found = secrets(docs.withColumnRenamed("spans", "__own_spans") if "spans" in docs.columns else docs, id_col, text_col, rules)
+    (spans,) = free_names(docs.columns, "spans")
+    found = secrets(docs, id_col, text_col, rules, spans)
     text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        apart = F.struct(s["end"].alias("at"), F.concat(state["out"], before, F.lit(MASK)).alias("out"))
+        before = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(MASK))
+        apart = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(before)).alias("out"))
         return F.when(s["start"] >= state["at"], apart).otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out")))
 
-    cut = F.aggregate("spans", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(text)).drop("spans")
-    return out.withColumnRenamed("__own_spans", "spans") if "__own_spans" in out.columns else out
+    cut = _bound(_folded(F.col(spans), "string", step), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).drop(spans)
