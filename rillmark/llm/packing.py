@@ -4,7 +4,8 @@ Bounded-space online best-fit: each task keeps at most OPEN_BINS open sequences
 bitset keyed by free space.  A piece goes into the open sequence that it leaves fullest;
 if none has room, a new one opens, for which the fullest open one closes when all are
 in use.  A placed piece is emitted at once, so memory doesn't depend on the input, and
-nothing is shuffled: sequences belong to the task that filled them.
+nothing is shuffled: sequences belong to the task that filled them.  So a task may leave up to
+OPEN_BINS sequences with room; that loss grows with the number of tasks, not of documents.
 
 Defined results: a null text is empty, and an empty document is its end token alone;
 repeated ids are separate documents (rows); an empty table gives an empty table; the
@@ -14,6 +15,7 @@ other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,18 +45,21 @@ class Encoder:
 
     ranks_path: the vocabulary's tokens in rank order, base64, which give the same ids as
     the tokenizers library gives with the JSON file of that vocabulary (the tests compare
-    them); strings of special tokens in a text are ordinary text.  The vocabulary's pattern
+    them).  added: the strings of that file's added tokens with their ids; a text is cut at
+    them, the first and then the longest that matches.  The vocabulary's pattern
     never joins a single space between two other characters to what precedes it, so a
     text's ids are those of its space-led words, one after the other.  Ids of recent
     words are kept; each other word is encoded once.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added or {}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         self.forget()
 
     def forget(self) -> None:
@@ -63,6 +68,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each has."""
+        if self.cut is None or not any(a in t for a in self.added for t in texts):
+            return self._plainly(texts)
+        parts = [[p for p in self.cut.split(t) if p] for t in texts]
+        own = [p for row in parts for p in row]
+        flat, counts = self._plainly([p for p in own if p not in self.added])
+        pieces, at, sizes, k = [], np.concatenate(([0], np.cumsum(counts))), [], 0
+        for p in own:
+            if p in self.added:
+                pieces.append(np.array([self.added[p]], np.uint32))
+            else:
+                pieces.append(flat[at[k] : at[k + 1]])
+                k += 1
+            sizes.append(len(pieces[-1]))
+        last = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, parts)])]
+        return np.concatenate(pieces), np.diff(last)
+
+    def _plainly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for texts without added tokens."""
         if len(self.known) > CACHED_WORDS:
             self.forget()
         words: list[str] = []
@@ -99,8 +122,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_path, pattern)
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    return Encoder(ranks_path, pattern, dict(added))
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizers file, which encode() of that library finds in any text."""
+    with open(json_path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    odd = [x["content"] for x in found if x["single_word"] or x["lstrip"] or x["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that take in what stands beside them are not known: {odd}")
+    return tuple((x["content"], x["id"]) for x in found)
 
 
 class Packer:
@@ -145,17 +178,17 @@ def piece_lengths(n: int, length: int = LENGTH) -> list[int]:
     return [n % length] * (n % length > 0) + [length] * (n // length)
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = (), id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with `with_ids` its ids.
 
-    ranks_path, pattern: a vocabulary file that every executor has, and its word pattern.
+    ranks_path, pattern, added: a vocabulary file that every executor has, its word pattern and its added tokens.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length, open_bins, TaskContext.get().partitionId() << 40)
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(ranks_path, pattern, added)
         for batch in batches:
             i = 0
             while i < batch.num_rows:
