@@ -2,10 +2,13 @@
 
 Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other.  They are
 projected on leading principal axes, put in grid cells of that width and sorted by cell;
-the sequence is cut into intervals of at most INTERVAL rows with their bounding boxes.
-Pairs of intervals that are not provably distant are joined, each by a task of bounded
+the sequence is cut into intervals of at most INTERVAL rows, and where the first axis's cell changes, with their bounding boxes.
+Pairs of intervals that share or neighbour a cell of the first two axes and are not provably distant are joined, each by a task of bounded
 size, by halving recursively and skipping distant halves; leaves multiply
-matrices in double precision.
+matrices in double precision.  Vectors travel in the precision of their column, which is exact.
+
+Where few vectors are provably distant, as in one dense label, work is the square of the number of intervals: the
+method has no bound below that.
 
 Equal vectors of one label collapse to one row with a count first.  A task returns, for
 each vector that links, how many it links with and one edge of a spanning forest, so
@@ -27,42 +30,52 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rillmark.llm.cluster import Scratch, components
 
 THRESHOLD = 0.98
 AXES, CELLS = 8, 4
-INTERVAL, LEAF = 1024, 128
+INTERVAL, LEAF = 2048, 128
 #: Leading components that the principal axes are made of, and sums that reach the driver.
 MOMENTS, SUMS = 256, 32
 _SLACK = 1e-9
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each vector's bytes (doubles), a key of them and its length; nulls where it can't link."""
-    for batch in batches:
-        raw, keys, sizes = [], [], []
-        for v in batch.column(1):
-            x = None if v.as_py() is None else v.values.cast(pa.float64())
-            a = None if x is None or x.null_count or not len(x) else x.to_numpy()
-            ok = a is not None and np.isfinite(a).all() and a.any() and np.isfinite(a @ a) and a @ a > 0
-            raw.append(np.ascontiguousarray(a).tobytes() if ok else None)
-            keys.append(md5(raw[-1], usedforsecurity=False).digest() if ok else None)
-            sizes.append(len(a) if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())], names=["vec_id", "label", "raw", "key", "size"])
-
-
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+def _facts(kind: str):
+    """Adds each vector's bytes (of this kind), a key of them and its length; nulls where it can't link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, keys, sizes = [], [], []
+            for v in batch.column(1):
+                x = v.values if v.is_valid else None
+                a = None if x is None or x.null_count or not len(x) else x.cast(pa.float64()).to_numpy()
+                ok = a is not None and np.isfinite(a).all() and a.any() and np.isfinite(a @ a) and a @ a > 0
+                raw.append(a.astype(kind).tobytes() if ok else None)
+                keys.append(md5(raw[-1], usedforsecurity=False).digest() if ok else None)
+                sizes.append(len(a) if ok else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())], names=["vec_id", "label", "raw", "key", "size"])
+
+    return run
+
+
+def _unit_rows(flat: bytes, rows: int, size: int) -> np.ndarray:
+    """Rows of length 1, in double precision, of vectors of `size` numbers of four or eight bytes."""
+    x = np.frombuffer(flat, f"<f{len(flat) // (rows * size)}").reshape(rows, size).astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def unit(raw: list[bytes], size: int) -> np.ndarray:
+    return _unit_rows(b"".join(raw), len(raw), size)
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for batch in batches:
         size = batch.column(1).to_numpy()
         for d in np.unique(size):
-            x = unit(batch.column(0).filter(pa.array(size == d)).to_pylist())[:, :MOMENTS]
+            x = unit(batch.column(0).filter(pa.array(size == d)).to_pylist(), int(d))[:, :MOMENTS]
             own = sums.setdefault(int(d), [0, 0.0, 0.0])
             own[0] += len(x)
             own[1] += x.sum(0)
@@ -176,7 +189,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col), F.col(label_col).cast("string").alias("label"))
-    rows = scratch.keep(own.mapInArrow(_facts, "vec_id long, label string, raw binary, key binary, size int"))
+    exact = "<f4" if own.schema[vector_col].dataType == ArrayType(FloatType(), own.schema[vector_col].dataType.containsNull) else "<f8"
+    rows = scratch.keep(own.mapInArrow(_facts(exact), "vec_id long, label string, raw binary, key binary, size int"))
     able = rows.where("vec_id is not null and label is not null and key is not null")
     once = able.groupBy("vec_id", "label", "key").agg(F.first("raw").alias("raw"), F.first("size").alias("size"))
     reps = scratch.keep(once.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"), F.first("size").alias("size")))
@@ -189,7 +203,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             grid = np.zeros((len(size), CELLS), np.int32)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                p = unit(batch.column(3).take(pa.array(at)).to_pylist())[:, :MOMENTS] @ axes.value[int(d)]
+                p = unit(batch.column(3).take(pa.array(at)).to_pylist(), int(d))[:, :MOMENTS] @ axes.value[int(d)]
                 grid[at, : min(CELLS, p.shape[1])] = np.floor(p[:, :CELLS] / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, grid.T)], names=[*batch.schema.names, *(f"c{k}" for k in range(CELLS))])
 
@@ -201,13 +215,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            label, size = batch.column(0).to_pylist(), batch.column(4).to_numpy()
-            edge = [0, *(k for k in range(1, len(label)) if label[k] != label[k - 1] or size[k] != size[k - 1]), len(label)]
+            label, size, cell = batch.column(0).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            edge = [0, *(k for k in range(1, len(label)) if label[k] != label[k - 1] or size[k] != size[k - 1] or cell[k] != cell[k - 1]), len(label)]
             for a, b in zip(edge, edge[1:], strict=False):
                 for i in range(a, b, INTERVAL):
                     j = min(b, i + INTERVAL)
                     raw = batch.column(3).slice(i, j - i).to_pylist()
-                    p = unit(raw)[:, :MOMENTS] @ axes.value[int(size[a])]
+                    p = unit(raw, int(size[a]))[:, :MOMENTS] @ axes.value[int(size[a])]
                     p = np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -223,21 +237,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     )
                     n += 1
 
-    intervals = scratch.keep(sequence.select("label", "rep", "copies", "raw", "size").mapInArrow(cut, "interval long, label string, size int, lo array<double>, hi array<double>, ids binary, counts binary, raw binary"))
-    slab = [F.floor(F.get(F.col(c), F.lit(0)) / eps).cast("int") for c in ("lo", "hi")]
+    intervals = scratch.keep(sequence.select("label", "rep", "copies", "raw", "size", "c0").mapInArrow(cut, "interval long, label string, size int, lo array<double>, hi array<double>, ids binary, counts binary, raw binary"))
     meta = intervals.select("interval", "label", "size", "lo", "hi")
-    left = meta.select(F.col("interval").alias("i"), "label", "size", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(*slab)).alias("slab"))
-    right = meta.select(F.col("interval").alias("j"), "label", "size", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(slab[0] - 1, slab[1] + 1)).alias("slab"))
+
+    def cells_of(t: DataFrame, wider: int) -> DataFrame:
+        """A row for each cell of the first two axes that an interval may meet."""
+        for k in range(2):
+            ends = [F.floor(F.get(F.col(c), F.lit(k)) / eps).cast("int") for c in t.columns[3:5]]
+            t = t.withColumn(f"s{k}", F.explode(F.sequence(ends[0] - wider, ends[1] + wider)))
+        return t
+
+    left = cells_of(meta.toDF("i", "label", "size", "lo1", "hi1"), 0)
+    right = cells_of(meta.toDF("j", "label", "size", "lo2", "hi2"), 1)
     gaps = F.zip_with(F.zip_with("lo1", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi1", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     near = F.aggregate(F.transform(gaps, lambda g: g * g), F.lit(0.0), lambda s, g: s + g) <= eps * eps
-    pairs = left.join(right, ["label", "size", "slab"]).where((F.col("i") <= F.col("j")) & near).select("i", "j").distinct()
+    pairs = left.join(right, ["label", "size", "s0", "s1"]).where((F.col("i") <= F.col("j")) & near).select("i", "j").distinct()
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("interval"))
     loaded = sides.join(intervals.select("interval", "size", "ids", "counts", "raw").hint("merge"), "interval")
 
     def join(t: pa.Table) -> pa.Table:
-        parts = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["raw"]).reshape(-1, r["size"])) for r in sorted(t.to_pylist(), key=lambda r: r["interval"])]
+        parts = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), r["raw"], r["size"]) for r in sorted(t.to_pylist(), key=lambda r: r["interval"])]
         a, b = parts[0], parts[-1]
-        x, y = (p[2] / np.sqrt((p[2] * p[2]).sum(1))[:, None] for p in (a, b))
+        x, y = (_unit_rows(p[2], len(p[0]), p[3]) for p in (a, b))
         px, py = (v[:, :MOMENTS] @ axes.value[v.shape[1]] for v in (x, y))
         same = len(parts) == 1
         j = Join(x, y, px, py, a[1], b[1], same, threshold)
