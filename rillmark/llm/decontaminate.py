@@ -9,7 +9,8 @@ walking to a sampled position, confirmed word by word, and merged to removal spa
 
 The documents are never shuffled.  The benchmark is the stated query set: it reaches
 the executors in blocks of BLOCK_BYTES, each small enough to broadcast, and every
-shard is searched for every block.
+shard is searched for every block.  Of several blocks a worker holds one at a time and reads the
+next from its executor's disk, so memory doesn't grow with the benchmark.
 
 Defined results: a null or wordless text has no words and no hits; items with a null id
 or text, or without words, are skipped; an item_id that repeats counts once; every
@@ -230,7 +231,15 @@ def _occurrences(parts: list[W.Words], phrases: Phrases) -> Iterator[tuple[np.nd
         yield which, place[spots], length, items
 
 
-def scan(column: pa.Array, blocks: list[Phrases]) -> Iterator[tuple[int, int, list[dict]]]:
+def _each(blocks: list) -> Iterator[Phrases]:
+    """The values of broadcasts; of several, one is held at a time."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1 and getattr(b, "_path", None):
+            b.__dict__.pop("_value", None)
+
+
+def scan(column: pa.Array, blocks: list) -> Iterator[tuple[int, int, list[dict]]]:
     """For ranges of texts: n_words, the hit words' spans (bytes and code points), n_hit, items."""
     raw, at = W.buffers(column)
     for i, j in W.chunks(at, SHARD_BYTES):
@@ -244,7 +253,7 @@ def scan(column: pa.Array, blocks: list[Phrases]) -> Iterator[tuple[int, int, li
             p = int(np.searchsorted(heads, x, "right")) - 1
             return parts[p].word(int(x - heads[p]))
 
-        for phrases in blocks:
+        for phrases in _each(blocks):
             if not phrases.by_length or not total:
                 continue
             for which, start, length, owners in _occurrences(parts, phrases):
@@ -299,7 +308,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in scan(batch.column(1), [b.value for b in blocks]):
+            for i, j, found in scan(batch.column(1), blocks):
                 cols = [pa.array([x[c] for x in found], schema.field(c).type) for c in schema.names[1:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], schema=schema)
 
@@ -313,7 +322,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in scan(batch.column(at), [b.value for b in blocks]):
+            for i, j, found in scan(batch.column(at), blocks):
                 part = batch.slice(i, j - i)
                 if any(x["n_hit"] for x in found):
                     texts = part.column(at).to_pylist()
