@@ -7,8 +7,11 @@ one-versus-rest ridge regression on it gives a weight of each landmark for each
 language.  Scoring multiplies a batch's presence matrix by the landmarks' and the
 result by these weights, in place and without a shuffle.
 
-Training takes SAMPLE rows at most, as many of each language, those with the least
-hashes of ids; landmarks are drawn from them in turn.  Only their presence bits
+Training takes SAMPLE rows in all, as many of each language and at least one of each, those with the least
+hashes of ids; landmarks are drawn from them in turn, LANDMARKS or one for each language.  So the model
+grows with the number of languages, all of which are learnt, not with the rows.  One pass counts
+the languages; another keeps of each the ids whose hash is under a bound that its count sets (EXTRA times what is wanted), and only
+these are ranked.  Only the presence bits of the sample
 (2**BITS / 8 bytes a row) reach the driver.  Scoring covers every row and whole texts.
 
 Defined results: null text, and text without a letter, is `und` with score 0; without any
@@ -23,14 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm import words as W
 from rillmark.llm.cluster import held_out
 
 BITS, LONGEST, SAMPLE, LANDMARKS, RIDGE = 13, 3, 4096, 192, 1e-3
-MOST_LANGUAGES = 256
+EXTRA, SPARE = 1.5, 32
 ROWS, CHUNK = 256, 1 << 20
 _FACTORS = np.random.default_rng(10).integers(1, 2**31, LONGEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,7 +93,7 @@ def fit(x: np.ndarray, language: list[str]) -> Model:
     y = np.array([[1.0 if v == n else -1.0 for n in names] for v in language])
     by_name = [[k for k, v in enumerate(language) if v == n] for n in names]
     turn = [k for row in zip(*(rows + [-1] * (max(map(len, by_name)) - len(rows)) for rows in by_name), strict=True) for k in row if k >= 0]
-    marks = x[turn[:LANDMARKS]]
+    marks = x[turn[: max(LANDMARKS, len(names))]]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6)))
     phi = kernel(x, marks).astype(np.float64) @ root
@@ -100,14 +103,14 @@ def fit(x: np.ndarray, language: list[str]) -> Model:
 
 def trained(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE) -> Model | None:
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, rest))
-    names = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not names:
+    counts = own.groupBy("lang").count().toArrow()
+    if not counts.num_rows:
         return None
-    ids = own.select("doc_id", "lang").distinct()
-    parts = [ids.where(F.col("lang") == n).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // len(names))) for n in names]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
+    each = max(1, sample // counts.num_rows)
+    rate = docs.sparkSession.createDataFrame([(n, min(1.0, (EXTRA * each + SPARE) / k)) for n, k in zip(counts["lang"].to_pylist(), counts["count"].to_pylist(), strict=True)], "lang string, rate double")
+    h = F.xxhash64("doc_id")
+    few = own.join(F.broadcast(rate), "lang").where(F.pmod(h, F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("doc_id", "lang").distinct()
+    chosen = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))).where(F.col("at") <= each).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +119,9 @@ def trained(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
-    rows = sorted(texts.mapInArrow(run, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r["doc_id"], r["lang"]))
-    x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    return fit(x, [r["lang"] for r in rows])
+    rows = texts.mapInArrow(run, "doc_id long, lang string, bits binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1).astype(np.float32)
+    return fit(x, rows["lang"].to_pylist())
 
 
 def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
