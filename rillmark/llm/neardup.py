@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm import words as W
-from rillmark.llm.cluster import Scratch, components
+from rillmark.llm.cluster import Scratch, components, hot_join
 
 BANDS, ROWS = 40, 5
 BATCH, MISS = 20, 1e-6
@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.keep(sets)
 
     spread = reps.select("rep", F.explode("keys").alias("bkey"))
-    buckets = spread.groupBy("bkey").agg(F.min("rep").alias("leader"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("members")).where("leader <> most").drop("most")
-    members = scratch.keep(spread.join(buckets, "bkey"))
+    buckets = spread.groupBy("bkey").agg(F.min("rep").alias("leader"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("rows")).where("leader <> most").drop("most")
+    buckets = scratch.keep(buckets.withColumn("members", F.col("rows")))
+    members = scratch.keep(hot_join(spread, buckets, "bkey", BANDS * reps.count()))
 
     def surviving(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         return (
@@ -317,10 +318,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = members.where("members > 2").select("bkey", "rep", "members")
     facts = sets = None
     for r in range(ROUNDS + 1):
-        placed = left.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = scratch.keep(left.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
         draw = F.xxhash64("rep", "bkey", F.lit(r))
-        mixed = placed.groupBy("bkey").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", draw).alias("leader"), F.min_by("component", draw).alias("own")).where("low <> high").drop("low", "high")
-        rows = scratch.keep(placed.join(mixed, "bkey"))
+        mixed = placed.groupBy("bkey").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", draw).alias("leader"), F.min_by("component", draw).alias("own"), F.count(F.lit(1)).alias("rows")).where("low <> high").drop("low", "high")
+        rows = scratch.keep(hot_join(placed, scratch.keep(mixed), "bkey", placed.count()))
         left = rows.select("bkey", "rep", "members")
         if facts is None:
             live = scratch.keep(rows.select("rep").distinct())
