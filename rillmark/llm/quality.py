@@ -7,7 +7,8 @@ statistics of the whole text, and its size in characters as metadata.
 
 Training takes SAMPLE labelled rows at most, those with the least hashes of ids, by
 AdaGrad in one task; weights are 2**BITS + STATS + SIZES rows of 1 + RANK floats, a
-bound that makes them safe to broadcast.  Scoring covers every row, in place.
+bound that makes them safe to broadcast.  That task reads places and values alone: texts are
+hashed where they are.  Scoring covers every row, in place.
 
 Defined results: null and empty texts are scored from their statistics, all zero;
 without any labelled row the score is 0.5; a null or negative size counts as 0; a
@@ -131,17 +132,20 @@ def trained(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, lab
     own = own.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id"))
     chosen = own.orderBy("h", "doc_id").limit(sample)
     texts = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("n_chars").alias("n_chars"), F.max("label").alias("label"), F.max("h").alias("h"))
-    one = texts.select("h", "doc_id", "text", "n_chars", "label").repartition(1).sortWithinPartitions("h", "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, t, p, x in features(batch.column(2), batch.column(3)):
                 cut = np.searchsorted(t, np.arange(j - i + 1))
-                rows += [(p[a:b], x[a:b], y) for a, b, y in zip(cut, cut[1:], batch.column(4).slice(i, j - i).to_pylist(), strict=False)]
+                own = [pa.array([v[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for v in (p.astype("<i4"), x.astype("<f8"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1, 4)), *own], names=["h", "doc_id", "label", "places", "amounts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(p, "<i4"), np.frombuffer(x, "<f8"), y) for batch in batches for y, p, x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_pydict({"weights": pa.array([fit(rows).astype("<f4").tobytes() if rows else b""], pa.binary())})
 
-    for (found,) in one.mapInArrow(run, "weights binary").collect():
+    own = texts.select("h", "doc_id", "text", "n_chars", "label").mapInArrow(hashed, "h long, doc_id long, label int, places binary, amounts binary")
+    for (found,) in own.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(run, "weights binary").collect():
         if found:
             return np.frombuffer(bytes(found), "<f4").reshape(WIDTH + 1, 1 + RANK).astype(np.float64)
     return np.zeros((WIDTH + 1, 1 + RANK))

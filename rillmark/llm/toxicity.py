@@ -3,11 +3,12 @@
 Features of a text are the presence of its words, its pairs of neighbours and its pairs
 with one word between, hashed to 2**BITS buckets.  Training is online, one row after
 the other in the order of a hash of the id, with a learning rate for each coordinate;
-the L1 penalty leaves few weights, which are broadcast (at most 2**BITS of them) and
+the L1 penalty leaves few weights, which are broadcast as (bucket, weight) (at most 2**BITS of them) and
 summed over each whole text in place, without a shuffle.
 
 Training takes SAMPLE labelled rows at most, those with the least hashes of ids; that
-bound is what makes one task enough for it.  Scoring covers every row.
+bound is what makes one task enough for it.  That task reads buckets alone: texts are hashed
+where they are.  Scoring covers every row.
 
 Defined results: null and empty texts get the score of the bias alone; without any
 labelled row the score is 0.5; a doc_id labelled twice counts once with its greatest
@@ -73,6 +74,17 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     return at, w[at].astype(np.float32)
 
 
+#: Buckets with weights, sorted, and these; the bias, if any, has bucket 2**BITS.
+Weights = tuple[np.ndarray, np.ndarray]
+
+
+def dense(weights: Weights) -> np.ndarray:
+    """By bucket, the bias last."""
+    out = np.zeros((1 << BITS) + 1, np.float32)
+    out[weights[0]] = weights[1]
+    return out
+
+
 def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     """weights: by bucket, the bias last."""
     out = np.full(len(column), float(weights[-1]))
@@ -86,55 +98,58 @@ def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: int, most: int) -> DataFrame:
-    """One partition of (h, doc_id, text, label) in the order of h: `most` learnable rows at most."""
+    """(h, doc_id, text, label) of `most` learnable rows at most; they are learnt in the order of h."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id", mod, rest))
     own = own.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id"))
     chosen = own.orderBy("h", "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("h").alias("h")).select("h", "doc_id", "text", "label").repartition(1).sortWithinPartitions("h", "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("h").alias("h")).select("h", "doc_id", "text", "label")
 
 
-def trained(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, label_col: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
-    """Dense weights on the driver: (2**BITS + 1) floats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+def trained(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, label_col: str = "toxic", sample: int = SAMPLE) -> Weights:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in W.of_column(batch.column(2), W.ALNUM):
                 doc, bucket = features(w)
                 once = np.unique(doc << BITS | bucket)
                 cut = np.searchsorted(once >> BITS, np.arange(j - i + 1))
-                once = (once & ((1 << BITS) - 1)).astype(np.int32)
-                rows += [(once[a:b], y) for a, b, y in zip(cut, cut[1:], batch.column(3).slice(i, j - i).to_pylist(), strict=False)]
+                once = (once & ((1 << BITS) - 1)).astype("<i4")
+                own = pa.array([once[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1, 3)), own], names=["h", "doc_id", "label", "buckets"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += [(np.frombuffer(x.as_py(), "<i4"), y) for x, y in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
         at, w = fit(rows)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "weight": pa.array(w, pa.float32())})
 
-    found = labelled(docs, labels, label_col, mod, rest, sample).mapInArrow(run, "bucket int, weight float").collect()
-    out = np.zeros((1 << BITS) + 1, np.float32)
-    for bucket, weight in found:
-        out[bucket] = weight
-    return out
+    chosen = labelled(docs, labels, label_col, mod, rest, sample).mapInArrow(hashed, "h long, doc_id long, label int, buckets binary")
+    found = chosen.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(run, "bucket int, weight float").toArrow().sort_by("bucket")
+    return found["bucket"].to_numpy(), found["weight"].to_numpy()
 
 
-def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = dense(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), sent.value))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), weights))], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, score double")
 
 
-def clean(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, weights: Weights, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of `docs`, with all their columns, that score under the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = dense(sent.value)
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(at), sent.value) < threshold))
+            yield batch.filter(pa.array(scores(batch.column(at), weights) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
