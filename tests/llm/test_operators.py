@@ -262,17 +262,55 @@ def test_tree_probabilities_add_up():
     rng = np.random.default_rng(1)
     text = rng.choice(np.frombuffer(b"abc ", np.uint8), 4000)
     code = lm.grams(text, np.array([0, len(text)]))
-    rows = {}
-    for d in range(lm.DEPTH + 1):
-        edge, n = np.unique(code & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
-        keep = np.ones(len(edge), bool) if d < 2 else (edge >> np.uint64(8)) % np.uint64(3) == 0
-        rows[d] = tuple(x[keep] for x in ((edge >> np.uint64(8)).astype(np.int64), (edge & np.uint64(255)).astype(np.int64), n))
-    tree = lm.Tree.of(rows)
-    for history in (0, int(code[100]), int(code[2000]), 0x7A7A7A):
-        all_next = (np.full(256, history, np.uint64) << np.uint64(8) | np.arange(256, dtype=np.uint64)) & np.uint64((1 << 8 * (lm.DEPTH + 1)) - 1)
+    levels = {}
+    for d in range(1, lm.DEPTH + 1):
+        edge, n = lm.shortened(code, np.ones(len(code), np.int64), d)
+        keep = np.ones(len(edge), bool) if d < 2 else (edge >> np.uint64(64 - 8 * d)) % np.uint64(3) == 0
+        levels[d] = lm.Level(edge[keep], n[keep], d)
+    tree = lm.Tree.of(levels, *np.unique(text, return_counts=True))
+    for history in (0, int(code[100]) >> 8, int(code[2000]) >> 8, 0x7A7A7A << 32):
+        all_next = np.full(256, history, np.uint64) << np.uint64(8) | np.arange(256, dtype=np.uint64)
         assert (10 ** tree.of_edges(all_next)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_suffix_tree_scores_equal_brute_force(spark, monkeypatch):
+    """Counts, divergences, states, smoothing and scores, one symbol at a time; sequences are added up in rounds."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    rng = random.Random(17)
+    rows = [(k, prose(rng, rng.randint(0, 60))) for k in range(80)] + [(901, ""), (902, None), (903, "é É x")]
+    seqs = {i: [*(b for w in plain(t) for b in [*w.encode(), 32]), 0] for i, t in rows}
+    after = defaultdict(Counter)
+    for i, s in seqs.items():
+        if not held(i, 10, 0):
+            for k, x in enumerate(s):
+                past = (0,) * lm.DEPTH + tuple(s[:k])
+                for d in range(lm.DEPTH + 1):
+                    after[past[len(past) - d :]][x] += 1
+    total = sum(after[()].values())
+    states = set()
+    for c in sorted(after, key=len, reverse=True):
+        if c:
+            own, up = after[c], after[c[1:]]
+            n, m = sum(own.values()), sum(up.values())
+            gain = sum(k * math.log2(k / n / (up[x] / m)) for x, k in own.items())
+            if gain >= (min(lm.BITS, lm.GAIN * total) if len(c) <= lm.SURE else lm.BITS) or c in states:
+                states |= {c, c[1:]}
+    states.discard(())
+
+    def p(c, x):
+        if not c:
+            return (after[()][x] + 0.5) / (total + 128)
+        under = p(c[1:], x)
+        return (after[c][x] + lm.SMOOTH * under) / (sum(after[c].values()) + lm.SMOOTH) if c in states else under
+
+    got = lm.scored(docs(spark, rows, 5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = seqs[r["doc_id"]]
+        want = sum(math.log10(p(((0,) * lm.DEPTH + tuple(s[:k]))[-lm.DEPTH :], x)) for k, x in enumerate(s))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_on_an_empty_table(spark):
     assert lm.scored(docs(spark, ODD).limit(0)).count() == 0
 
@@ -285,7 +323,7 @@ def test_states_of_a_rare_text_stay_when_other_texts_grow(spark, monkeypatch):
     def found(texts):
         df = spark.createDataFrame([(t,) for t in texts], "text string")
         states, _ = lm.states_of(df, Scratch(spark, "test"))
-        return {(r["depth"], r["context"]) for r in states.collect()}
+        return {(r["depth"], r["id"]) for r in states.collect()}
 
     monkeypatch.setattr(lm, "GAIN", 1.0)  # the small corpus must ask for BITS, too
     alone = found(rare)
