@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a
 DataFrame; run() writes each one's result as Parquet and gives it to the next.
+
+Defined results: only the columns of `documents` are read, so others, whatever their names, are left behind;
+a null or empty text is not toxic, is nobody's copy, and is packed as an end token alone; rows with a null
+id all stay; rows that share an id are one document, which stays or goes with all its texts,
+each of them once (with the least lang, source and n_chars); empty tables give empty tables; without labels
+nothing is toxic.
 """
 
 from __future__ import annotations
@@ -27,13 +33,13 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group of near-duplicates (five words, 0.8), once; rows without an id stay."""
+    """The least id of each group of near-duplicates (five words, 0.8), each of its texts once; rows without an id stay."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    found = neardup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null")).select(*COLUMNS)
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    once = named.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    return once.union(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,8 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, placed in sequences."""
     ship(spark)
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -73,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop_paths(scratch.paths[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
