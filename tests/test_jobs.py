@@ -193,3 +193,26 @@ def test_custom_stream_in_parts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["part"], r["x"]) for r in out.read().collect()) == [(0, 0), (0, 1), (0, 2), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_consuming_joins_in_a_job(spark, tmp_path, many):
+    """In a session whose state store is not set for them; the setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    left, right = (Topic(spark, f"{tmp_path}/{n}") for n in ("l", "r"))
+    left.write(spark.createDataFrame([(k, k, 10 * k, 0) for k in range(5)], SCHEMA))
+    right.write(spark.createDataFrame([(100 + k, k % 5, k, 0) for k in range(5 if not many else 12)], SCHEMA))
+    job = Job(JobConfig(spark, f"{tmp_path}/job"))
+    job.existing("l", left.path)
+    job.existing("r", right.path)
+    job.run("met", job.consuming_join("l", "r", F.col("k"), F.col("k"), F.col("id"), F.col("id"), [F.col("l.v").alias("a"), F.col("r.id").alias("b")], many))
+    job.start()
+    assert sorted((r["a"], r["b"]) for r in job.topic("met").read().collect()) == sorted((10 * (k % 5), 100 + k) for k in range(12 if many else 5))
+    assert spark.conf.get(name, None) == before
+
+
+def test_a_null_key_is_a_key(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "x long, k string")
+    got = {r["key"]: r["value"] for r in Stream(df).group_by(Key(F.col("k"))).aggregate(M.Count, F.lit(1)).collect()}
+    assert got == {None: 2, "a": 1}
