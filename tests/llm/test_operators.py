@@ -10,7 +10,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontaminate, langid, licenses, lm, neardup, packing, quality, secrets, toxicity, vectors
+from rillmark.llm import cluster, decontaminate, langid, licenses, lm, neardup, packing, quality, secrets, toxicity, vectors
 from rillmark.llm.cluster import Scratch
 from rillmark.session import ship
 
@@ -177,11 +177,11 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(5)
-    odd = ["a  b", " a", "a ", "\n x\t y ", "it's  we'll x", "<|endoftext|> x", "🙂 é  z", "\0 a \0b", "ﬁ 12 345"]
+    odd = ["a  b", " a", "a ", "\n x\t y ", "it's  we'll x", "<|endoftext|> x", "x <|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>b", "<|endoftext|>", "<|endoftext |>", "🙂 é  z", "\0 a \0b", "ﬁ 12 345"]
     rows = [(k, prose(rng, rng.choice([1, 5, 300, 3000]))) for k in range(25)] + list(enumerate(odd, 100)) + ODD
-    out = packing.packed(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.packed(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, with_ids=True).collect()
     want = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for i, t in rows)
     pieces = defaultdict(list)
     for r in out:
@@ -276,6 +276,8 @@ def test_tree_probabilities_add_up():
 def test_suffix_tree_scores_equal_brute_force(spark, monkeypatch):
     """Counts, divergences, states, smoothing and scores, one symbol at a time; sequences are added up in rounds."""
     monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 900)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 3000)
     rng = random.Random(17)
     rows = [(k, prose(rng, rng.randint(0, 60))) for k in range(80)] + [(901, ""), (902, None), (903, "é É x")]
     seqs = {i: [*(b for w in plain(t) for b in [*w.encode(), 32]), 0] for i, t in rows}
@@ -287,13 +289,14 @@ def test_suffix_tree_scores_equal_brute_force(spark, monkeypatch):
                 for d in range(lm.DEPTH + 1):
                     after[past[len(past) - d :]][x] += 1
     total = sum(after[()].values())
+    size = sum(len((t or "").encode()) for i, t in rows if not held(i, 10, 0))
     states = set()
     for c in sorted(after, key=len, reverse=True):
         if c:
             own, up = after[c], after[c[1:]]
             n, m = sum(own.values()), sum(up.values())
             gain = sum(k * math.log2(k / n / (up[x] / m)) for x, k in own.items())
-            if gain >= (min(lm.BITS, lm.GAIN * total) if len(c) <= lm.SURE else lm.BITS) or c in states:
+            if gain >= (min(lm.BITS, lm.GAIN * size) if len(c) <= lm.SURE else lm.BITS) or c in states:
                 states |= {c, c[1:]}
     states.discard(())
 
@@ -430,7 +433,7 @@ def test_secrets_equal_brute_force(spark):
     bits = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJKLMNOP", "é", "\n", "🙂", "x", "short", "deadbeef"]
     rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(300)]
     rows += [(400, "password: hunter2hunter2"), (None, "token=abcdefgh12"), (401, "ſecret=abcdefgh12"), (402, "gh" + "p_" + "Zz" * 18)] + ODD
-    got = secrets.secrets(docs(spark, rows).drop("spans")).collect()
+    got = secrets.secrets(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     want = Counter()
     for i, t in rows:
@@ -442,7 +445,7 @@ def test_secrets_equal_brute_force(spark):
     assert set(clean.columns) == set(docs(spark, rows).columns)
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[400] == secrets.MASK and texts[901] == "" and texts[900] is None
-    assert all(not s["spans"] for s in secrets.secrets(clean.drop("spans")).collect())
+    assert all(not s["spans"] for s in secrets.secrets(clean).collect())
 
 
 @pytest.mark.parametrize(
@@ -490,3 +493,175 @@ def test_near_vectors_equal_brute_force(spark):
 
 def test_sha_of_no_items():
     assert sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# Hot keys, empty tables, odd columns
+
+
+def test_hot_joins_and_components_lose_nothing(spark, monkeypatch):
+    """A third of all edges at one hub; keys are dealt to several tasks from two rows on."""
+    rng = random.Random(21)
+    edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(60, 160), rng.randrange(60, 160)) for _ in range(60)] + [(500, 500), (70, 70)]
+    monkeypatch.setattr(cluster, "HOT", 2)
+    left = spark.createDataFrame(edges, "k long, v long")
+    keyed = left.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"))
+    got = cluster.hot_join(left, keyed, "k", len(edges), 2).collect()
+    low = {k: min(v for x, v in edges if x == k) for k, _ in edges}
+    assert Counter(map(tuple, got)) == Counter((k, v, low[k]) for k, v in edges)
+    named = {r["node"]: r["component"] for r in cluster.components(Scratch(spark, "t"), left.toDF("src", "dst")).collect()}
+    linked = {frozenset(e) for e in edges}
+    assert named == {n: c for n, c in components_of({n: n for e in edges for n in e}, lambda a, b: frozenset((a, b)) in linked).items() if n not in (500,) and any(n in e and len(set(e)) == 2 for e in edges)}
+
+
+def test_blocks_of_the_benchmark_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [(str(k), prose(rng, 15)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = docs(spark, [(k, f"{prose(rng, 8)} {items[k % 12][1]} {prose(rng, 4)}") for k in range(30)])
+    whole = sorted(map(repr, decontaminate.contamination(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert sorted(map(repr, decontaminate.contamination(df, bench).collect())) == whole
+
+
+def test_secrets_by_join_of_candidates_equal_those_by_broadcast(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(["token=abcdefgh12", "plain", "AKIA" + "X" * 20, "secret", "0123456789abcdef" * 3]) for _ in range(rng.randint(0, 1500)))) for i in range(40)] + ODD
+    df = docs(spark, rows)
+    a, b = (sorted(map(repr, secrets.secrets(df, listed=n).select("doc_id", "spans").collect())) for n in (1 << 20, 0))
+    assert a == b
+    assert max(len(r["spans"]) for r in secrets.secrets(df).collect()) > 2 * secrets.CHUNK
+
+
+@pytest.mark.parametrize("names", [("spans", "__id", "flags"), ("id", "ID2", "made"), ("_flags", "__flags", "_id")])
+def test_secrets_leave_columns_of_any_name(spark, names):
+    df = spark.createDataFrame([(1, "password: hunter2hunter2"), (2, "plain"), (None, None)], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
+    assert secrets.redacted(df).columns == df.columns and got[1]["text"] == secrets.MASK
+    assert all(r[n] == n for r in got.values() for n in names)
+    found = secrets.secrets(df)
+    assert sorted(found.columns) == sorted({*df.columns, "spans"}) and len(found.where("doc_id = 1").first()["spans"]) == 1
+
+
+def test_empty_tables(spark):
+    none, labels = docs(spark, ODD).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert secrets.secrets(none).count() == secrets.redacted(none).count() == licenses.licences(none).count() == 0
+    assert langid.trained(none) is None and langid.identified(none, None).count() == 0
+    assert toxicity.clean(none, toxicity.trained(none, labels)).count() == 0
+
+
+def test_ftrl_equals_a_plain_one(spark):
+    """One weight at a time, in plain floats."""
+    import numpy as np
+
+    rng = random.Random(24)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 12))), np.int32), rng.randrange(2)) for _ in range(150)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    bias = 1 << toxicity.BITS
+    for _ in range(toxicity.EPOCHS):
+        for own, label in rows:
+            ws = {i: weight(i) for i in [*own.tolist(), bias]}
+            g = 1 / (1 + math.exp(-sum(ws.values()))) - label
+            for i, w in ws.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w
+                n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    at, w = toxicity.fit([(toxicity.packed(b), y) for b, y in rows])
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want, rel=1e-4)
+
+
+def test_packed_buckets_come_back():
+    import numpy as np
+
+    rng = random.Random(27)
+    for own in ([], [0], [65535], [65534, 65535, 131070], sorted(rng.sample(range(1 << 20), 9)), list(range(300))):
+        assert toxicity.unpacked(toxicity.packed(np.array(own, np.int64))).tolist() == own
+
+
+def test_toxic_scores_equal_a_plain_sum(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b a c", "B a! C d", "", None, "x"]
+    weights = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1).astype(np.float32)
+    got = toxicity.scores(pa.array(texts), weights)
+    for t, s in zip(texts, got, strict=True):
+        w = alnum(t)
+        seen = {("w", x) for x in w} | {("p", x, y) for x, y in zip(w, w[1:])} | {("s", x, y) for x, y in zip(w, w[2:])}
+        hashes = {x: toxicity.W.hash_word(x.encode()) for x in w}
+        buckets = set()
+        for kind, *own in seen:
+            h = hashes[own[0]] if kind == "w" else toxicity.W.pair(hashes[own[0]], hashes[own[1]])
+            salt = toxicity._SALTS["wps".index(kind)]
+            buckets.add(int(toxicity.W.mix(np.uint64(h) ^ salt) >> np.uint64(64 - toxicity.BITS)))
+        assert s == pytest.approx(1 / (1 + math.exp(-(weights[-1] + sum(float(weights[b]) for b in buckets)))), rel=1e-5)
+
+
+def test_language_kernel_and_regression_equal_brute_force():
+    """Presence, kernel, landmarks and ridge on small sets, by their definitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts, names = ["ka zo mi", "zo ka tu", "bré fla", "fla wü bré", "mi mi ka", "ño fla"], ["x", "x", "y", "y", "x", "y"]
+    ((_, _, _, _, x),) = langid.rows_of(pa.array(texts))
+    for k, t in enumerate(texts):
+        raw = t.encode().lower()
+        own = set()
+        for n in range(1, langid.LONGEST + 1):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[i : i + n], "big") + n - 1
+                own.add((code * int(langid._FACTORS[n - 1]) & 0xFFFFFFFF) >> (32 - langid.BITS))
+        assert set(np.flatnonzero(x[k]).tolist()) == own
+    model = langid.fit(x, names)
+    size = x.sum(1)
+    k = np.array([[(a * b).sum() / math.sqrt(a.sum() * b.sum()) for b in x] for a in x])
+    # With all texts as landmarks, Nyström is exact: kernel ridge regression in its dual form.
+    y = np.array([[1.0 if n == v else -1.0 for v in ("x", "y")] for n in names])
+    dual = np.linalg.solve(k + langid.RIDGE * len(x) * np.eye(len(x)), y)
+    best, score = model.predict(x)
+    assert size.min() > 0 and np.allclose(score, (np.clip((k @ dual).max(1), -1, 1) + 1) / 2, atol=1e-3)
+    assert [model.languages[b] for b in best] == names
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than landmarks; one of them has two thirds of all rows."""
+    rng = random.Random(26)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{n:03d}": "".join(rng.sample(alphabet, 4)) for n in range(220)}
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(5)) for _ in range(30)), k, "s", 0) for i, k in enumerate([k for k in kinds for _ in range(6)] + ["l000"] * 2640)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.trained(df)
+    assert model.languages == sorted(kinds) and len(model.landmarks) == 220
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(df, model).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) / len(rows) > 0.8
+
+
+def test_counts_beyond_32_bits_take_several_shares():
+    import numpy as np
+
+    n = np.array([1, (1 << 32) - 1, 5 * (1 << 32) + 7, 3])
+    at, value = lm._shares(n)
+    assert np.bincount(at, value.astype(np.float64)).astype(np.int64).tolist() == n.tolist() and value.min() >= 0
+
+
+def test_wrapped_notices_are_found_and_prose_is_not(spark):
+    """Notices of every family, wrapped at random places between lines of prose; sentences of prose about licences."""
+    rng = random.Random(25)
+    rows, want = [], {}
+    for f in licenses.FAMILIES:
+        for t in licenses.TEMPLATES[f]:
+            if len(t.split()) < 6:
+                continue
+            for _ in range(4):
+                words = t.split()
+                cut = rng.randrange(1, len(words))
+                want[len(rows)] = f
+                rows.append((len(rows), f"{prose(rng, 12)}\n\n# {' '.join(words[:cut])}\n# {' '.join(words[cut:])}\n\n{prose(rng, 30)}"))
+    clean = len(rows)
+    rows += [(clean + k, f"{prose(rng, 20)}\n{t.capitalize()}.\n{prose(rng, 20)}") for k, t in enumerate(licenses.UNKNOWN)]
+    got = {r["doc_id"]: r["families"] for r in licenses.licences(docs(spark, rows)).collect()}
+    assert sum(got[k] == f for k, f in want.items()) / len(want) > 0.9
+    assert all(got[k] == "" for k in range(clean, len(rows)))

@@ -1,7 +1,13 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_operators import components_of, prose
 from tests.test_queries import SF, check
 
 import __spark_entry__ as entry
@@ -51,3 +57,69 @@ def test_stages_take_effect(spark, tmp_path):
     assert same.where("text <> after").count() == 0
     assert safe.count() == apart.count() and secrets.secrets(safe).where("size(spans) > 0").count() == 0
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in safe.collect()}
+
+
+def small_tables(spark, to, rows, marks, items):
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit("x") for n in ("spans", "rep", "kept", "__id", "component_id")})
+    wide.repartition(3).write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{to}/benchmark.parquet")
+    return str(to)
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage against a plain version that uses none of the library, on nulls, empty and repeated texts, repeated ids and clashing columns."""
+    from rillmark.llm.decontaminate import MARK
+
+    rng = random.Random(31)
+    item = prose(rng, 14)
+    rows = [(i, prose(rng, rng.randint(8, 60)), "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, rows[i][1].upper(), "en", "s", 0) for i in range(0, 20, 3)]  # copies
+    rows += [(200, f"{prose(rng, 9)} {item} {prose(rng, 9)}", "en", "s", 0), (201, f"key token=abcdefgh1234 {prose(rng, 9)}", "en", "s", 0), (202, None, "en", "s", 0), (203, "", None, None, None)]
+    rows += [(204, "first text of one id with some words", "en", "s", 0), (204, "another text of that id with others", "en", "s", 0), (204, "another text of that id with others", "de", "s", 0), (None, "no id here", "en", "s", 0), (None, None, None, None, None)]
+    rows += [(300 + i, f"{prose(rng, 20)} grumbold {prose(rng, 20)}", "en", "s", 0) for i in range(60)]
+    marks = [(i, 1, 0) for i in range(60)] + [(300 + i, 0, 1) for i in range(60)]
+    sf = small_tables(spark, tmp_path / "in", rows, marks, [("a", item), (None, "x"), ("b", None)])
+    ship(spark)
+    made, held = {"start": spark.read.parquet(f"{sf}/documents.parquet")}, None
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, made[held or "start"], sf).write.parquet(f"{tmp_path}/{name}")
+        made[name], held = spark.read.parquet(f"{tmp_path}/{name}"), name
+    calm, once, apart, safe = ([tuple(r) for r in made[n].select("doc_id", "text").collect()] for n in ("toxicity", "near_duplicates", "decontamination", "secrets"))
+    assert Counter(calm) == Counter((r[0], r[1]) for r in rows if "grumbold" not in (r[1] or ""))
+
+    def sets(text):
+        w = re.findall("[^\x20\x09-\x0d]+", (text or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    by_id = defaultdict(list)
+    for i, t in calm:
+        if i is not None:
+            by_id[i].append(sets(t))
+    own = components_of(by_id, lambda a, b: any(x and 100 * len(x & y) >= 80 * len(x | y) for x in a for y in b))
+    assert Counter(once) == Counter({(i, t) for i, t in calm if i is not None and own[i] == i}) + Counter((i, t) for i, t in calm if i is None)
+    want = Counter((i, t.replace(item, MARK) if t else t) for i, t in once)
+    assert Counter(apart) == want and (200, next(t for i, t in apart if i == 200)) not in once
+    assert Counter(safe) == Counter((i, re.sub(r"token=[a-z0-9]+", "[redacted]", t) if t else t) for i, t in apart)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    ids = sorted((i or -1, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]))) for i, t in safe)
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in made["packing"].collect()) == ids
+    kept = made["near_duplicates"].where("doc_id = 204").select("lang", "text").collect()
+    assert sorted(map(tuple, kept)) == [("de", "another text of that id with others"), ("en", "first text of one id with some words")]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sf = small_tables(spark, tmp_path / "in", [], [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    from rillmark.llm.cluster import shared_dir
+    from rillmark.streaming.storage import Folder
+
+    before = set(Folder(spark, shared_dir(spark)).names())
+    out = corpus_pipeline.run(spark, SF)
+    left = [n for n in Folder(spark, shared_dir(spark)).names() if n not in before and n.startswith("pipeline")]
+    assert len(left) == 1 and len(Folder(spark, f"{shared_dir(spark)}/{left[0]}").names()) == 1 and out.count() > 0
