@@ -82,20 +82,20 @@ class Scratch:
                 self._delete(path)
 
 
-def hot_join(left: DataFrame, keyed: DataFrame, key: str, total: int, least: int = HOT) -> DataFrame:
-    """`left` (of `total` rows) joined by `key` with `keyed`: one row for each key, and in `rows` how many rows of `left` have it.
+def hot_join(left: DataFrame, keyed: DataFrame, key: str, total: int, least: int = HOT, by: tuple[str, ...] = ()) -> DataFrame:
+    """`left` (of `total` rows) joined by `key` with `keyed`, which has in `rows` how many rows of `left` have it.
 
     Rows of a key with more than a quarter of a task's share (and more than `least`) are dealt to several tasks, and its
     row of `keyed` is copied to each.  There are at most four such keys for each task of a shuffle, so
-    their table is broadcast.  `keyed` is read twice: keep it.
+    their table is broadcast.  `keyed` is read twice: keep it.  by: columns that tell rows of a key apart, all if none is given.
     """
     most = max(least, total // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if total <= most:
         return left.join(keyed.drop("rows").hint("merge"), key)
     share, salt = free_names([*left.columns, *keyed.columns], "share", "salt")
     parts = F.ceil(F.col("rows") / most).cast("int")
-    hot = keyed.where(F.col("rows") > most).select(key, parts.alias(share))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.coalesce(share, F.lit(1))).cast("int")).drop(share)
+    hot = keyed.where(F.col("rows") > most).select(key, parts.alias(share)).distinct()
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(*(by or left.columns)), F.coalesce(share, F.lit(1))).cast("int")).drop(share)
     copies = keyed.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows")
     return dealt.join(copies.hint("merge"), [key, salt]).drop(salt)
 

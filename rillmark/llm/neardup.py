@@ -9,10 +9,12 @@
    contracted to components.  Buckets that still hold several components are compared
    with a leader drawn at random in each of ROUNDS more rounds, members of the leader's
    component aside.  Those that hold several even then are compared in all pairs
-   across components, in blocks of bounded size, each pair in one bucket only.
+   across components, in blocks of bounded size, each pair in one bucket only: there, and only
+   there, work is the square of the number of members.  Two band keys that differ but agree in 32 bits
+   (a chance of about 1e-8 for a pair) make such a pair look seen.
 4. A comparison reads the signatures in batches and stops as soon as the posterior
    chance of the wanted similarity falls under MISS; survivors are confirmed on
-   full shingle sets.
+   full shingle sets.  Rows of a bucket or a leader that has many are dealt to several tasks.
 
 Defined results: null or wordless text has an empty set (n_shingles 0) and links with
 nothing; rows with a null id link with nothing and get null component and kept; rows
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm import words as W
-from rillmark.llm.cluster import Scratch, components, hot_join
+from rillmark.llm.cluster import HOT, Scratch, components, hot_join
 
 BANDS, ROWS = 40, 5
 BATCH, MISS = 20, 1e-6
@@ -283,24 +285,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.keep(buckets.withColumn("members", F.col("rows")))
     members = scratch.keep(hot_join(spread, buckets, "bkey", BANDS * reps.count()))
 
+    def with_leaders(pairs: DataFrame, more: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
+        """`more` (pairs with columns of b) with the columns of a, which may be in many pairs."""
+        if total <= HOT:
+            return more.join(leaders.hint("merge"), "a")
+        counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+        return hot_join(more, scratch.keep(leaders.join(counts.hint("merge"), "a")), "a", total, by=("a", "b"))
+
     def surviving(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        return (
-            pairs.join(facts.select("rep", "n", "sig").toDF("b", "nb", "sb").hint("merge"), "b")
-            .join(facts.select("rep", "n", "sig").toDF("a", "na", "sa").hint("merge"), "a")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .select("a", "b", "sa", "sb")
-            .mapInArrow(_prune(percent), "a long, b long")
-        )
+        pairs = scratch.keep(pairs)
+        both = pairs.join(facts.select("rep", "n", "sig").toDF("b", "nb", "sb").hint("merge"), "b")
+        both = with_leaders(pairs, both, facts.select("rep", "n", "sig").toDF("a", "na", "sa"), pairs.count())
+        return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(_prune(percent), "a long, b long")
 
     def full_sets(ids: DataFrame) -> DataFrame:
         """(id, shingles) of these ids and, as the bitmap may say so, of others."""
         return scratch.keep(texts.where("doc_id is not null").mapInArrow(_full_sets(shingle_words, _bitmap(ids)), "id long, shingles array<long>"))
 
     def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-        both = pairs.join(full.toDF("b", "sb").hint("merge"), "b").join(full.toDF("a", "sa").hint("merge"), "a")
+        """The pairs that link; one may be there more than once."""
+        pairs = scratch.keep(pairs)
+        both = with_leaders(pairs, pairs.join(full.toDF("b", "sb").hint("merge"), "b"), full.toDF("a", "sa"), pairs.count())
         shared = F.size(F.array_intersect("sa", "sb"))
         met = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("total")).where(f"100L * i >= {percent}L * (total - i)")
-        return scratch.keep(met.select("a", "b").distinct())
+        return scratch.keep(met.select("a", "b"))
 
     def joined(links: DataFrame, known: DataFrame) -> DataFrame:
         """(rep, component) after more links."""
