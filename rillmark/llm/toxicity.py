@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from rillmark.llm import words as W
 from rillmark.llm.cluster import held_out
 
-BITS, SAMPLE, EPOCHS = 20, 20_000, 4
+BITS, SAMPLE, EPOCHS = 20, 20_000, 8
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.0
 _SALTS = (np.uint64(0x51), np.uint64(0xB2), np.uint64(0xC3))
 
 
+#: Buckets with weights, sorted, and these; the bias, if any, has bucket 2**BITS.
+Weights = tuple[np.ndarray, np.ndarray]
+
+
 def features(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every word, pair and skip-pair; repeats are not removed."""
     doc, h = w.doc(), w.hash
@@ -63,21 +67,30 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with weights, and these; rows have distinct buckets and a label."""
+def packed(buckets: np.ndarray) -> bytes:
+    """Sorted buckets as 16-bit steps; 65535 is a step that ends at no bucket."""
+    step = np.diff(buckets, prepend=0)
+    out = np.full(int((step // 65535 + 1).sum()), 65535, "<u2")
+    out[np.cumsum(step // 65535 + 1) - 1] = step % 65535
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    step = np.frombuffer(raw, "<u2")
+    return np.cumsum(step, dtype=np.int64)[step != 65535]
+
+
+def fit(rows: list[tuple[bytes, int]]) -> Weights:
+    """Rows have packed distinct buckets and a label."""
     model = Ftrl()
     for _ in range(EPOCHS):
         for buckets, label in rows:
-            model.learn(buckets, label)
+            model.learn(unpacked(buckets), label)
     w = model.weights(slice(None))
     at = np.flatnonzero(w)
     return at, w[at].astype(np.float32)
 
 
-#: Buckets with weights, sorted, and these; the bias, if any, has bucket 2**BITS.
-Weights = tuple[np.ndarray, np.ndarray]
-
-
 def dense(weights: Weights) -> np.ndarray:
     """By bucket, the bias last."""
     out = np.zeros((1 << BITS) + 1, np.float32)
@@ -113,14 +126,14 @@ def trained(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, lab
                 doc, bucket = features(w)
                 once = np.unique(doc << BITS | bucket)
                 cut = np.searchsorted(once >> BITS, np.arange(j - i + 1))
-                once = (once & ((1 << BITS) - 1)).astype("<i4")
-                own = pa.array([once[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+                once &= (1 << BITS) - 1
+                own = pa.array([packed(once[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1, 3)), own], names=["h", "doc_id", "label", "buckets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            rows += [(np.frombuffer(x.as_py(), "<i4"), y) for x, y in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
+            rows += zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)
         at, w = fit(rows)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "weight": pa.array(w, pa.float32())})
 

@@ -91,7 +91,8 @@ def chunks(at: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE) -> Words:
+def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE, hashed: bool = True) -> Words:
+    """The words of the texts; without hashes where these are not wanted."""
     n, inside = len(at) - 1, is_word[raw]
     if not inside.any():
         none = np.zeros(0, np.int64)
@@ -104,6 +105,8 @@ def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE) -> W
     begins[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if not hashed:
+        return Words(raw, at, start, end, np.searchsorted(start, at), np.zeros(0, np.uint64))
     kept, length = LOWER[raw[inside]], end - start
     head = np.cumsum(length) - length
     place = np.arange(len(kept)) - np.repeat(head, length)
@@ -112,11 +115,11 @@ def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE) -> W
     return Words(raw, at, start, end, np.searchsorted(start, at), mix(value + length.astype(np.uint64)))
 
 
-def of_column(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray = NON_SPACE, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def of_column(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray = NON_SPACE, most: int = CHUNK_BYTES, hashed: bool = True) -> Iterator[tuple[int, int, Words]]:
     """Words of a column, by ranges of rows."""
     raw, at = buffers(column)
     for i, j in chunks(at, most):
-        yield i, j, words(raw[at[i] : at[j]], at[i : j + 1] - at[i], is_word)
+        yield i, j, words(raw[at[i] : at[j]], at[i : j + 1] - at[i], is_word, hashed)
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
