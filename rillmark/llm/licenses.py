@@ -151,7 +151,9 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an anchor and no family; families: distinct, sorted, comma-joined.
     """
     names, w, b = model()
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # A column of its own, as each use of an expression would lower the text again.
+    lowered = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    low = F.col("low")
 
     def anchored(p: Column) -> Column:
         long = reduce(lambda x, y: x | y, (F.contains(p, F.lit(word)) for word in anchors() if len(word) > 3))
@@ -183,7 +185,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.filter(F.array_distinct(F.transform(own, lambda x: family(_norm(x)))), lambda k: k < len(FAMILIES))
 
     found = F.transform(F.filter(F.split(low, r"\n[ \t\r]*(?:\n[ \t\r]*)+"), anchored), judged)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(anchored(low), found).otherwise(F.array().cast("array<array<int>>")).alias("found"))
+    rows = lowered.select("doc_id", F.when(anchored(low), found).otherwise(F.array().cast("array<array<int>>")).alias("found"))
     labels = F.array(*map(F.lit, FAMILIES))
     return rows.select(
         "doc_id",
