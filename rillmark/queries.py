@@ -238,10 +238,10 @@ def _table(spark: SparkSession, sf_dir: str) -> AggrTable:
 
 
 def _user(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("key").alias("user_id"), "value.n", F.round("value.mean", 6).alias("mean"))
+    return rows.select(F.col("key").alias("user_id"), "value.n", F.round("value.mean", 9).alias("mean"))
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE user_id = 5 GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM events WHERE user_id = 5 GROUP BY user_id")
 def row_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user(_table(spark, sf_dir).get_row(5))
 
@@ -251,13 +251,13 @@ def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user(_table(spark, sf_dir).get_row_range(10, 20)).drop("mean")
 
 
-@query("SELECT count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE user_id = 7")
+@query("SELECT count(*) AS n, round(avg(value), 9) AS mean FROM events WHERE user_id = 7")
 def row_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir).get_blocking(7, 30)
-    return spark.createDataFrame([(found["n"], round(found["mean"], 6))], "n long, mean double")
+    return spark.createDataFrame([(found["n"], round(found["mean"], 9))], "n long, mean double")
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY user_id")
 def partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user(_table(spark, sf_dir).rows())
 
@@ -276,7 +276,7 @@ def table_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(out.rows(), key="key", n="value")
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY user_id")
 def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hour's events come last, after the watermark passed them and the table was compacted: they count like all others."""
     m, e = M.Tuple(n=M.Count, mean=M.Mean), stream(spark, sf_dir, "events")
