@@ -335,6 +335,20 @@ def test_states_of_a_rare_text_stay_when_other_texts_grow(spark, monkeypatch):
     assert len(alone) > 50 and {s for s in alone if s[0] > 1} <= grown
 
 
+def test_states_need_as_many_bits_in_a_corpus_of_any_size(spark):
+    """The texts alone, and among many of other symbols: the same states.  The old rule asked less of a small corpus, by its bytes."""
+    rng = random.Random(14)
+    small = [prose(rng, 60) for _ in range(60)]
+
+    def found(texts):
+        states, _ = lm.states_of(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "test"))
+        names = {r["id"].to_bytes(8, "big", signed=True)[: r["depth"]] for r in states.collect() if r["depth"] > 2}
+        return {c for c in names if c.isascii() and 0 not in c}
+
+    alone = found(small)
+    assert len(alone) > 50 and found(small + ["\u4e16" * 3_400_000] * 4) == alone
+
+
 def test_a_symbol_is_told_by_the_seventh_before_it(spark):
     """Each word takes one bit; with contexts of five bytes its last letter took another."""
     rng = random.Random(13)
