@@ -48,6 +48,8 @@ GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 NEAR, HELD, FAN = 3, 3 << 20, 64
 #: Bits of the array of states, as a power of two; bytes of text that arrays, and rows that travel, are made of.
 MARKS, CHUNK, RUN_BYTES = 25, 1 << 19, 1 << 20
+#: Contexts that end in the same so many bytes are in one bucket, so that names in it share most of their bytes.
+KIN = 5
 _BYTE = np.uint64(255)
 
 
@@ -181,7 +183,7 @@ def _rows(level: Level, chosen: np.ndarray, needed: np.ndarray | None = None, mo
             [
                 pa.array(name.view(np.int64)),
                 pa.array(np.full(len(on), level.d, np.int32)),
-                pa.array((W.mix(name) >> np.uint64(33)).astype(np.int32)),
+                pa.array(_slot(name)),
                 pa.array(np.zeros(len(on), bool) if needed is None else np.isin(level.contexts[on], needed)),
                 _binary(at, (level.code[edge[source]] & _BYTE).astype(np.uint8)),
                 _binary(at * 4, counts),
@@ -211,6 +213,42 @@ def _whole(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], n, "zstd", asbytes=True) if n else b""
 
 
+def _less(value: np.ndarray) -> bytes:
+    """Numbers compressed, by planes of their bytes: as many as the largest has."""
+    width = max(1, int(value.max(initial=0)).bit_length() + 7 >> 3)
+    return bytes([width]) + _small(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _more(raw: bytes) -> np.ndarray:
+    own = np.frombuffer(_whole(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = own.T
+    return out.view("<u8").ravel()
+
+
+def shortened_names(name: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name its length and how many bytes are those of the name before it (none at a head); the other bytes, and how many."""
+    size, context = (name & _BYTE).astype(np.int64), name & top(DEPTH)
+    other = np.empty_like(name)
+    other[1:] = context[1:] ^ context[:-1]
+    same = np.minimum(sum((other >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, DEPTH + 1)), size)
+    same[head] = 0
+    place = np.arange(8)
+    return (same << 3 | size).astype(np.uint8), name.astype(">u8").view(np.uint8).reshape(-1, 8)[(place >= same[:, None]) & (place < size[:, None])], size - same
+
+
+def whole_names(kinds: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What shortened_names() was made of; runs of names that begin with a head may stand one after the other."""
+    same, size = kinds >> 3, kinds & 7
+    out, row = np.zeros((len(kinds), 8), np.uint8), np.arange(len(kinds))
+    place = np.arange(8)
+    out[(place >= same[:, None]) & (place < size[:, None])] = rest
+    for k in range(DEPTH):
+        out[:, k] = out[np.maximum.accumulate(np.where(same <= k, row, 0)), k]
+    out[:, 7] = size
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _packed(code: np.ndarray, n: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
     """Sorted sequences and counts, a compressed row for each range; the bytes of a row's sequences and counts stand plane by plane."""
     source, value = _shares(n, 2)
@@ -391,9 +429,14 @@ def _gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    """As the slot of a state, by the number of buckets."""
-    return (W.mix(key) >> np.uint64(33)).astype(np.int64) % buckets
+def _slot(name: np.ndarray) -> np.ndarray:
+    """A context's slot, by its last KIN bytes; its bucket is what the number of buckets leaves of it."""
+    return (W.mix(np.where((name & _BYTE) > KIN, name & top(KIN) | np.uint64(KIN), name)) >> np.uint64(33)).astype(np.int32)
+
+
+def _range(word: np.ndarray, buckets: int) -> np.ndarray:
+    """A word's bucket: ranges of hashes, so that words stand by bucket in the order of their hashes."""
+    return ((word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _groups(column: pa.Array, begin: int) -> list[tuple[int, int, int]]:
@@ -411,19 +454,25 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _begins(size: np.ndarray | list[int]) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.asarray(size, np.int64))))
+
+
 def _asking(g: int, held: tuple[list, list, list], buckets: int, marks: np.ndarray) -> pa.RecordBatch:
     words, n = summed(np.concatenate(held[0]), np.concatenate(held[1]).astype(np.int64))
     name, size, follow = questions(distinct(np.concatenate(held[2])), marks)
-    at, own = _bucket(words, buckets), _bucket(name, buckets)
-    order, turn = np.argsort(at, kind="stable"), np.argsort(own, kind="stable")
-    words, n = words[order], n[order].astype("<i8")
+    at = _slot(name) % buckets
+    turn = np.lexsort((name, at))
     follow = follow[_gathered((np.cumsum(size) - size)[turn], size[turn])]
-    name, size = name[turn], size[turn].astype("<u2")
-    cut, cuts = (np.searchsorted(x, np.arange(buckets + 1)) for x in (at[order], own[turn]))
-    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[cuts]
+    name, size = name[turn], size[turn]
+    cut, cuts = (np.searchsorted(x, np.arange(buckets + 1)) for x in (_range(words, buckets), at[turn]))
+    kinds, rest, fresh = shortened_names(name, cuts[:-1][np.diff(cuts) > 0])
+    ends, rests = _begins(size)[cuts], _begins(fresh)[cuts]
     used = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cuts) > 0))
-    cols = [pa.array([_small(value[c[b] : c[b + 1]]) for b in used], pa.binary()) for value, c in ((words, cut), (n, cut), (name, cuts), (size, cuts), (follow, ends))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g), pa.int64()), pa.array(used, pa.int32()), *cols], names=["g", "bucket", "words", "n", "names", "sizes", "symbols"])
+    # A word is told by its distance from the one before.
+    cells = ((lambda x: _less(np.diff(x, prepend=np.uint64(0))), words, cut), (_less, n, cut), (_small, kinds, cuts), (_small, rest, rests), (_less, size, cuts), (_small, follow, ends))
+    cols = [pa.array([f(value[c[b] : c[b + 1]]) for b in used], pa.binary()) for f, value, c in cells]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g), pa.int64()), pa.array(used, pa.int32()), *cols], names=["g", "bucket", "words", "n", "kinds", "rest", "sizes", "symbols"])
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, rest: int = 0) -> DataFrame:
@@ -468,40 +517,43 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         if held[0]:
             yield _asking(task + now, held, buckets, sent.value[1])
 
-    asks = own.mapInArrow(asked, "g long, bucket int, words binary, n binary, names binary, sizes binary, symbols binary")
-    reply = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("totals", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+    asks = own.mapInArrow(asked, "g long, bucket int, words binary, n binary, kinds binary, rest binary, sizes binary, symbols binary")
+    reply = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("n", "kinds", "rest", "sizes", "symbols", "counts", "totals")), ("tokens", pa.int64()), ("known", pa.int64())])
 
     def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
         """For each group: its words' counts in all training rows, as it asked, and of its contexts that are states how often its symbols, and any, follow."""
         if not asks.num_rows:
             return reply.empty_table()
-        own = list(map(_whole, asks["words"].to_pylist()))
-        cut = np.cumsum([0, *(len(x) // 8 for x in own)])
-        kinds, at = _inverse(np.frombuffer(b"".join(own), np.uint64))
-        total = np.zeros(len(kinds), np.int64)
-        np.add.at(total, at, np.frombuffer(b"".join(map(_whole, asks["n"].to_pylist())), "<i8"))
+        own = [np.cumsum(_more(x)) for x in asks["words"].to_pylist()]
+        cut = _begins(list(map(len, own)))
+        words, at = _inverse(np.concatenate(own))
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, at, np.concatenate(list(map(_more, asks["n"].to_pylist()))).astype(np.int64))
         name = known["id"].to_numpy().view(np.uint64)
         order = np.argsort(name)
         name, syms, counts = name[order], known["symbols"].to_pylist(), known["counts"].to_pylist()
         owner = np.repeat(np.arange(len(order), dtype=np.uint64), [len(syms[k]) for k in order]) << np.uint64(8)
         edge, n = summed(owner | np.frombuffer(b"".join(syms[k] for k in order), np.uint8), np.frombuffer(b"".join(counts[k] for k in order), "<u4").astype(np.int64))
         whole = np.bincount((edge >> np.uint64(8)).astype(np.int64), n, minlength=len(name)).astype(np.int64)
-        cols: list[list] = [[] for _ in reply]
-        for r, (g, bucket, *wanted) in enumerate(zip(*(asks[c].to_pylist() for c in ("g", "bucket", "names", "sizes", "symbols")), strict=True)):
-            wanted, size, follow = (np.frombuffer(_whole(x), kind) for x, kind in zip(wanted, (np.uint64, "<u2", np.uint8), strict=True))
-            k = np.searchsorted(name, wanted)
-            on = (name[np.minimum(k, len(name) - 1)] == wanted) if len(name) else np.zeros(len(wanted), bool)
-            follow = follow[np.repeat(on, size)]
-            ask = np.repeat(k[on].astype(np.uint64), size[on]) << np.uint64(8) | follow
-            j = np.minimum(np.searchsorted(edge, ask), len(edge) - 1)
-            count = np.where(edge[j] == ask, n[j], 0) if len(ask) else np.zeros(0, np.int64)
-            row = (g, bucket, *map(_small, (total[at[cut[r] : cut[r + 1]]], wanted[on], size[on], follow, count.astype("<i8"), whole[k[on]].astype("<i8"))), int(total.sum()) if r == 0 else 0, int((total > 0).sum()) if r == 0 else 0)
-            for c, x in zip(cols, row, strict=True):
-                c.append(x)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, reply, strict=True)], schema=reply)
+        size = [_more(x).astype(np.int64) for x in asks["sizes"].to_pylist()]
+        cuts, size = _begins(list(map(len, size))), np.concatenate(size)
+        wanted = whole_names(*(np.frombuffer(b"".join(map(_whole, asks[c].to_pylist())), np.uint8) for c in ("kinds", "rest")))
+        k = np.searchsorted(name, wanted)
+        on = (name[np.minimum(k, len(name) - 1)] == wanted) if len(name) else np.zeros(len(wanted), bool)
+        follow = np.frombuffer(b"".join(map(_whole, asks["symbols"].to_pylist())), np.uint8)[np.repeat(on, size)]
+        k, size, cuts = k[on], size[on], _begins(on)[cuts]
+        ask = np.repeat(k.astype(np.uint64), size) << np.uint64(8) | follow
+        j = np.minimum(np.searchsorted(edge, ask), len(edge) - 1)
+        count = np.where(edge[j] == ask, n[j], 0) if len(ask) else np.zeros(0, np.int64)
+        kinds, rest, fresh = shortened_names(wanted[on], cuts[:-1][np.diff(cuts) > 0])
+        ends, rests = _begins(size)[cuts], _begins(fresh)[cuts]
+        cells = ((_less, total[at], cut), (_small, kinds, cuts), (_small, rest, rests), (_less, size, cuts), (_small, follow, ends), (_less, count, ends), (_less, whole[k], cuts))
+        cols = [pa.array([f(value[c[r] : c[r + 1]]) for r in range(asks.num_rows)], pa.binary()) for f, value, c in cells]
+        once = np.arange(asks.num_rows) == 0
+        return pa.table([asks["g"], asks["bucket"], *cols, pa.array(once * int(total.sum())), pa.array(once * int((total > 0).sum()))], schema=reply)
 
     at = F.pmod("slot", F.lit(buckets)).cast("int").alias("bucket")
-    answers = asks.groupBy("bucket").cogroup(states.select("id", at, "symbols", "counts").groupBy("bucket")).applyInArrow(answered, "g long, bucket int, n binary, names binary, sizes binary, symbols binary, counts binary, totals binary, tokens long, kinds long")
+    answers = asks.groupBy("bucket").cogroup(states.select("id", at, "symbols", "counts").groupBy("bucket")).applyInArrow(answered, "g long, bucket int, n binary, kinds binary, rest binary, sizes binary, symbols binary, counts binary, totals binary, tokens long, known long")
     # Of each group a last row without n_tokens brings what its answers say of all training words.
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tokens", pa.int64()), ("kinds", pa.int64())])
 
@@ -510,9 +562,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             return schema.empty_table()
         own = pa.concat_tables([pa.ipc.open_stream(_whole(x)).read_all() for x in own.sort_by("n")["rows"].to_pylist()]).combine_chunks()
         known = known.sort_by("bucket")
-        whole = [sum(known[c].to_pylist()) for c in ("tokens", "kinds")]
-        kinds_of = (("names", np.uint64), ("sizes", "<u2"), ("symbols", np.uint8), ("counts", "<i8"), ("totals", "<i8"), ("n", "<i8"))
-        name, size, flat, n, alls, counts = (np.frombuffer(b"".join(map(_whole, known[c].to_pylist())), kind) for c, kind in kinds_of)
+        whole = [sum(known[c].to_pylist()) for c in ("tokens", "known")]
+        name = whole_names(*(np.frombuffer(b"".join(map(_whole, known[c].to_pylist())), np.uint8) for c in ("kinds", "rest")))
+        size, n, alls, counts = (np.concatenate([np.zeros(0, np.uint64), *map(_more, known[c].to_pylist())]).astype(np.int64) for c in ("sizes", "counts", "totals", "n"))
+        flat = np.frombuffer(b"".join(map(_whole, known["symbols"].to_pylist())), np.uint8)
         owner = np.repeat(name, size)
         levels = {}
         for d in range(1, DEPTH + 1):
@@ -524,13 +577,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         del owner, name, size, flat, n, alls, known
         tree, cols = Tree.of(levels, *sent.value[0]), []
         del levels
-        # Words stand in the order in which they were asked for: by bucket, then by hash.
-        word, at = _inverse(np.concatenate([w.hash for _, _, w in W.of_column(own["text"], most=CHUNK)]))
-        c_of = np.zeros(len(word))
-        c_of[np.argsort(_bucket(word, buckets), kind="stable")] = counts
+        # The counts stand in the order of the words' hashes, as they were asked for.
+        at = _inverse(np.concatenate([w.hash for _, _, w in W.of_column(own["text"], most=CHUNK)]))[1]
         begin = 0
         for i, j, w in W.of_column(own["text"], most=CHUNK, hashed=False):
-            c = c_of[at[begin : begin + len(w.start)]]
+            c = counts[at[begin : begin + len(w.start)]]
             begin += len(w.start)
             doc, size = w.doc(), j - i
             base = np.bincount(doc, np.log10(c + 0.1), minlength=size) + np.log10(ends + 0.1)

@@ -357,6 +357,42 @@ def test_a_symbol_is_told_by_the_seventh_before_it(spark):
     assert own and all(r["score"] > -0.4 * 200 for r in own)
 
 
+def test_what_groups_ask_is_small():
+    """Names of contexts in a bucket share most of their bytes: two bytes a context with its symbols do; the old rows took more than four."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rillmark.llm import words
+
+    w = next(words.of_column(pa.array([prose(random.Random(15), 30_000)]), most=1 << 30))[2]
+    code = lm.distinct(lm.grams(*lm.symbols(w)))
+    marks = np.full(1 << lm.MARKS - 6, (1 << 64) - 1, np.uint64)
+    asked = lm._asking(0, ([np.zeros(0, np.uint64)], [np.zeros(0, bool)], [code]), 40, marks)
+    size = sum(len(x.as_py()) for c in asked.columns[2:] for x in c)
+    assert size < 2.2 * len(lm.questions(code, marks)[0])
+
+
+def test_names_and_numbers_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(16)
+    text = rng.choice(np.frombuffer(b"ab\0\xff", np.uint8), 3000)
+    code = lm.grams(text, np.array([0, len(text)]))
+    name = lm.distinct(np.concatenate([code & lm.top(d) | np.uint64(d) for d in range(1, lm.DEPTH + 1)]))
+    name = np.concatenate((name, name[:5], name[7:8], name))
+    head = np.flatnonzero(np.concatenate(([True], name[1:] <= name[:-1])))
+    kinds, rest, fresh = lm.shortened_names(name, head)
+    assert len(head) == 3 and int(fresh.sum()) == len(rest) and (lm.whole_names(kinds, rest) == name).all()
+    assert not len(lm.whole_names(*lm.shortened_names(name[:0], head[:0])[:2]))
+    for value in ([], [0], [255, 256, 0], [(1 << 64) - 1, 3]):
+        assert lm._more(lm._less(np.array(value, np.uint64))).tolist() == value
+
+
+def test_groups_without_words(spark):
+    rows = [(k, None) for k in range(12)] + [(20, " ")]
+    assert [(r["n_tokens"], r["score"]) for r in lm.scored(docs(spark, rows, 1)).collect()] == [(1, pytest.approx(math.log10((r_ + 0.5) / (r_ + 128)))) for r_ in [sum(not held(i, 10, 0) for i, _ in rows)]] * 13
+
+
 # 6
 
 
