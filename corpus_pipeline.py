@@ -20,21 +20,27 @@ from pyspark.sql import functions as F
 
 from rillmark.llm import decontaminate, neardup, packing, secrets, toxicity
 from rillmark.llm.cluster import Scratch
-from rillmark.session import ship
+from rillmark.session import lean, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _ready(spark: SparkSession) -> None:
+    """Workers know this package, and stages don't hold the memory of those before them."""
+    ship(spark)
+    lean(spark)
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
-    ship(spark)
+    _ready(spark)
     weights = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs.select(*COLUMNS), weights)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least id of each group of near-duplicates (five words, 0.8), each of its texts once; rows without an id stay."""
-    ship(spark)
+    _ready(spark)
     docs = docs.select(*COLUMNS)
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
@@ -44,20 +50,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages cut from the texts; n_chars follows."""
-    ship(spark)
+    _ready(spark)
     cut = decontaminate.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets masked in the texts; n_chars follows."""
-    ship(spark)
+    _ready(spark)
     return secrets.redacted(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, placed in sequences."""
-    ship(spark)
+    _ready(spark)
     added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
