@@ -44,7 +44,8 @@ class JobConfig:
 class Step:
     """What a step makes of its inputs.  kind: source, lazy, topic, table or sink; the with_ methods return copies.
 
-    stateless: each batch of the input can be made alone.  topic, log: of a source that is a topic, its place and its watermarks'.
+    stateless: each batch of the input can be made alone.  meet: of a consuming join, its sides, what it gives of a pair, and
+    whether it is one-to-many.  topic, log: of a source that is a topic, its place and its watermarks'.
     """
 
     kind: str
@@ -60,6 +61,7 @@ class Step:
     partitions: int | None = None
     stateless: bool = False
     stateful: bool = False
+    meet: tuple[Callable[..., DataFrame], list[Column], bool] | None = None
     topic: str | None = None
     log: str | None = None
 
@@ -130,7 +132,8 @@ class Job:
 
     def consuming_join(self, left: str, right: str, left_key: Column, right_key: Column, left_order: Column, right_order: Column, project: list[Column], many: bool = False) -> Step:
         """A streaming join that forgets pairs that have met (one-to-one), or in which the last left row of a key wins (`many`)."""
-        return Step("topic", (left, right), lambda l, r: joins.consuming(l, r, left_key, right_key, left_order, right_order, many).select(*project), stateful=True)  # noqa: E741
+        by = (left_key, right_key, left_order, right_order)
+        return Step("topic", (left, right), lambda l, r: joins.consuming(l, r, *by, many).select(*project), stateful=True, meet=(lambda l, r: joins.sides(l, r, *by), project, many))  # noqa: E741
 
     def one_to_one_join(self, left: str, right: str, left_key: Column, right_key: Column, project: list[Column], optional: bool = False) -> Step:
         return Step("topic", (left, right), lambda l, r: joins.one_to_one(l, r, left_key, right_key, project, optional))  # noqa: E741
@@ -216,10 +219,10 @@ class Job:
                 out = step.make(*inputs) if step.kind != "table" else inputs[0]
                 if step.kind == "topic":
                     schemas[name] = out.schema
-                df = inputs[0] if step.stateless else out
+                df = inputs[0] if step.stateless else step.meet[0](*inputs) if step.meet else out
                 writer = df.writeStream.queryName(name).option("checkpointLocation", f"{self.path(name)}/checkpoint").foreachBatch(self._commit(name, step))
                 writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
-                self._starts[name] = self._starter(writer, any(self.steps[i].stateful for i in [name, *self._lazy(name)]))
+                self._starts[name] = self._starter(writer, any(self.steps[i].stateful for i in self._lazy(name)))
                 queries.append(self._drained(name, restarts, throttle) if available_now else self._starts[name]())
             return queries
         finally:
@@ -301,6 +304,8 @@ class Job:
             begin, rows = time.monotonic(), 0
             log = WatermarkLog(self.config.spark, f"{self.path(name)}/watermark")
             made = step.make(df) if step.stateless or step.kind == "table" else df
+            if step.meet and step.kind == "topic":
+                made = joins.Meetings(f"{self.path(name)}/state", step.meet[2]).met(df, batch_id).select(*step.meet[1])
             last = None
             if step.kind == "table":
                 self.table_at(name).add(made, batch_id)

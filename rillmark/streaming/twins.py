@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillmark import queries as Q
 from rillmark.functions import monoids as M
 from rillmark.functions.scalars import millis, words
 from rillmark.operators.index import Index
-from rillmark.operators.joins import consuming, state_store
+from rillmark.operators.joins import Meetings, sides
 from rillmark.plans.jobs import Job, JobConfig
 from rillmark.session import ship
 from rillmark.streaming.storage import Folder, Topic
@@ -92,19 +93,19 @@ def eventual_index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(j.topic("by_type").read()).counts("", "~")
 
 
-def _met_stream(spark: SparkSession, met: DataFrame, name: str, schema: str) -> DataFrame:
-    at = Topic(spark, f"{work_dir(spark, name)}/data")
-    with state_store(spark):
-        query = met.writeStream.option("checkpointLocation", f"{at.path}-checkpoint").foreachBatch(lambda df, n: at.append(df, n)).trigger(availableNow=True).start()
+def _met_stream(spark: SparkSession, rows: DataFrame, project: list[Column], name: str, schema: str, many: bool = False) -> DataFrame:
+    folder = work_dir(spark, name)
+    at, state = Topic(spark, f"{folder}/data"), Meetings(f"{folder}/state", many)
+    query = rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(lambda df, n: at.append(state.met(df, n).select(*project), n)).trigger(availableNow=True).start()
     query.awaitTermination()
-    return at.read(schema).select(*met.columns)
+    return at.read(schema).select(*StructType.fromDDL(schema).names)
 
 
 @twin("SELECT a.event_id AS x, b.event_id AS y FROM events a JOIN events b ON a.event_id = b.event_id")
 def consuming_join_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = streamed(spark, sf_dir, "events").select("event_id", "user_id")
-    met = consuming(e, e, F.col("event_id"), F.col("event_id"), F.col("event_id"), F.col("event_id"))
-    return _met_stream(spark, met.select(F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")), "consuming", "x long, y long")
+    both = sides(e, e, F.col("event_id"), F.col("event_id"), F.col("event_id"), F.col("event_id"))
+    return _met_stream(spark, both, [F.col("l.event_id").alias("x"), F.col("r.event_id").alias("y")], "consuming", "x long, y long")
 
 
 @twin("SELECT c_custkey, o_orderkey, make_timestamp(1600000000000000 + c_custkey * 1234567) AS at FROM customer JOIN orders ON c_custkey = o_custkey")
@@ -112,8 +113,8 @@ def consuming_one_to_many_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their orders, whichever comes first; times keep their microseconds in the state."""
     c = streamed(spark, sf_dir, "customer").select("c_custkey", F.timestamp_micros(F.lit(1600000000000000) + F.col("c_custkey") * 1234567).alias("at"))
     o = streamed(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    met = consuming(c, o, F.col("c_custkey"), F.col("o_custkey"), F.col("c_custkey"), F.col("o_orderkey"), many=True)
-    return _met_stream(spark, met.select("l.c_custkey", "r.o_orderkey", F.col("l.at").cast("timestamp_ntz").alias("at")), "one-to-many", "c_custkey long, o_orderkey long, at timestamp_ntz")
+    both = sides(c, o, F.col("c_custkey"), F.col("o_custkey"), F.col("c_custkey"), F.col("o_orderkey"))
+    return _met_stream(spark, both, [F.col("l.c_custkey"), F.col("r.o_orderkey"), F.col("l.at").cast("timestamp_ntz").alias("at")], "one-to-many", "c_custkey long, o_orderkey long, at timestamp_ntz", many=True)
 
 
 def _by_commit(spark: SparkSession, sf_dir: str) -> Topic:

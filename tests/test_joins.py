@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.operators.joins import consuming, one_to_many, one_to_one, state_store
+from rillmark.operators.joins import Meetings, consuming, one_to_many, one_to_one, sides, state_store
 from rillmark.streaming.storage import Topic
 
 BOTH = ["l", "r"]
@@ -50,3 +52,50 @@ def test_consuming_join_in_order_of_arrival(spark, tmp_path, many):
     query.awaitTermination()
     got = sorted((r["v"], r["w"]) for r in at.read().collect())
     assert got == ([(100, 10), (100, 11), (101, 12)] if many else [(100, 10), (101, 11)])
+
+
+def plain(batches, many):
+    """The pairs of each micro-batch: rows (side, at, key, v), in the order of their time, against what waits of their key."""
+    left, right, backlog, out = {}, {}, {}, []
+    for rows in batches:
+        met = []
+        for side, _, k, v in sorted(rows, key=lambda x: (x[1], x[0])):
+            if k is None:
+                continue
+            if many and side == 0:
+                left[k] = v
+                met += [(v, w) for w in backlog.pop(k, [])]
+            elif many:
+                met += [(left[k], v)] if k in left else []
+                backlog.setdefault(k, []).extend([] if k in left else [v])
+            else:
+                own, other = (left, right) if side == 0 else (right, left)
+                if k in other:
+                    w = other.pop(k)
+                    met.append((v, w) if side == 0 else (w, v))
+                else:
+                    own[k] = v
+        out.append(sorted(met))
+    return out
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_meetings_by_batches_equal_the_plain_machine(spark, tmp_path, many):
+    """Over more batches than are merged; a batch that comes again gives what it gave and changes nothing."""
+    rng, schema = random.Random(3), "side int, at long, k long, v long"
+    times = rng.sample(range(1000), 300)
+    made = [(rng.randrange(2), times[i], rng.choice([None, *range(9)]), i) for i in range(300)]
+    batches = [made[a : a + 30] for a in range(0, 300, 30)]
+    state, got = Meetings(f"{tmp_path}/state", many), []
+    assert len(batches) > Meetings.MERGED
+    for n, b in enumerate(batches):
+        df = spark.createDataFrame(b, schema)
+        both = sides(df.where("side = 0"), df.where("side = 1"), F.col("k"), F.col("k"), F.col("at"), F.col("at"))
+        for _ in range(1 + (n in (3, 8))):
+            met = sorted(tuple(r) for r in state.met(both, n).select("l.v", "r.v").collect())
+        got.append(met)
+    assert got == plain(batches, many) and sum(map(len, got)) > 50
+    df = spark.createDataFrame(made, schema)
+    whole = consuming(df.where("side = 0"), df.where("side = 1"), F.col("k"), F.col("k"), F.col("at"), F.col("at"), many).select("l.v", "r.v")
+    assert sorted(tuple(r) for r in whole.collect()) == plain([made], many)[0]
+    assert "TransformWithState" not in whole._jdf.queryExecution().toString()
