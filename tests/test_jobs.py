@@ -216,3 +216,21 @@ def test_a_null_key_is_a_key(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "x long, k string")
     got = {r["key"]: r["value"] for r in Stream(df).group_by(Key(F.col("k"))).aggregate(M.Count, F.lit(1)).collect()}
     assert got == {None: 2, "a": 1}
+
+
+def test_one_to_many_meetings_of_several_batches_in_a_job(spark, tmp_path):
+    """Right rows wait for a left row of a later batch; a new left row counts from then on; times keep their microseconds; no state in Python."""
+    left, right = (Topic(spark, f"{tmp_path}/{n}") for n in ("l", "r"))
+    job = Job(JobConfig(spark, f"{tmp_path}/job"))
+    got = []
+    for lefts, rights in (([], [(1, 1), (2, 2)]), ([(1, 7, 1)], [(3, 1)]), ([(1, 8, 2), (2, 9, 3)], [(4, 1), (5, 3)])):
+        left.write(spark.createDataFrame(lefts, "k long, at long, us long").withColumn("t", F.timestamp_micros(F.lit(1600000000000000) + F.col("us"))))
+        right.write(spark.createDataFrame(rights, "id long, k long"))
+        if not got:
+            job.existing("l", left.path)
+            job.existing("r", right.path)
+            job.run("met", job.consuming_join("l", "r", F.col("k"), F.col("k"), F.col("at"), 10 * F.col("id"), [F.col("l.at").alias("a"), F.unix_micros("l.t").alias("t"), F.col("r.id").alias("b")], True))
+        queries = job.start()
+        assert not any("TransformWithState" in q._jsq.toString() or q.lastProgress and q.lastProgress["stateOperators"] for q in queries)
+        got.append(sorted((r["a"], r["t"] - 1600000000000000, r["b"]) for r in job.topic("met").read("a long, t long, b long").collect()))
+    assert got == [[], [(7, 1, 1), (7, 1, 3)], [(7, 1, 1), (7, 1, 3), (8, 2, 4), (9, 3, 2)]]
