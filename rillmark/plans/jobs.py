@@ -72,7 +72,7 @@ class Step:
         return replace(self, indexes={**self.indexes, name: keys})
 
     def watermark_by(self, millis: Column) -> Step:
-        """The watermark is this of the last row of each batch."""
+        """The watermark is this of the last row of each batch: by the coordinates in the topic that it pipes, if it keeps them; else by its own."""
         return replace(self, watermark=millis)
 
     def without_watermark(self) -> Step:
@@ -320,7 +320,8 @@ class Job:
                 for index, keys in step.indexes.items():
                     Topic(self.config.spark, f"{self.path(name)}/index/{index}").commit(entries(written, keys), batch_id)
                 if step.watermark is not None:
-                    last = written.agg(F.max_by(step.watermark, F.struct("_ver", "_pid", "_idx"))).first()[0]
+                    came = made if step.stateless and set(COORDINATES) <= set(made.columns) else written  # tasks read files in no order
+                    last = came.agg(F.max_by(step.watermark, F.struct("_ver", "_pid", "_idx"))).first()[0]
             if not step.no_watermark and step.watermark is None:
                 last = default_watermark([self._seen(root, direct and len(step.inputs) == 1, k, name, df, batch_id) for k, (root, direct) in enumerate(self._roots(name))])
             if last is not None:

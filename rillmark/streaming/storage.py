@@ -168,12 +168,15 @@ class Topic(Batches):
     """A persisted log of rows with coordinates (_pid, _ver, _idx); _idx rises within a partition of a commit."""
 
     def append(self, df: DataFrame, batch_id: int, partitions: int | None = None, pid: Column | None = None, order: tuple[str, ...] = (), rows_per_file: int | None = None) -> bool:
-        """pid: the partition of each row, in which rows stand by `order`; else rows stay in the tasks that made them, or are dealt to `partitions`."""
+        """pid: the partition of each row, in which rows stand by `order`; with `order` alone partitions are ranges of it, so
+        all rows stand by it; else rows stay in the tasks that made them, or are dealt to `partitions`."""
         at, own = F.monotonically_increasing_id(), df.columns
         place = F.shiftright(at, 33).cast("int")
         if pid is not None:
             df, place = df.withColumn("_pid", pid.cast("int")), F.col("_pid")
             df = (df.repartition(partitions, "_pid") if partitions else df.repartition("_pid")).sortWithinPartitions("_pid", *order)
+        elif order:
+            df = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
         elif partitions:
             df = df.repartition(partitions)
         out = df.select(*own, place.alias("_pid"), F.lit(batch_id).cast("bigint").alias("_ver"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_idx"))

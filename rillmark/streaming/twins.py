@@ -171,9 +171,9 @@ def default_watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a join of two steps, and of a table in another job that reads it with its watermark."""
     j = job(spark, sf_dir, "events", "orders")
     folder, paths = work_dir(spark, "sorted"), {}
-    for name, ts in (("events", "ts"), ("orders", "o_orderdate")):
+    for name, ts, key in (("events", "ts", "event_id"), ("orders", "o_orderdate", "o_orderkey")):
         log = Topic(spark, f"{folder}/{name}")
-        log.append(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("ms", millis(F.col(ts).cast("timestamp"))), 0, 1, F.lit(0), ("ms",))
+        log.append(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("ms", millis(F.col(ts).cast("timestamp"))), 0, order=("ms", key))
         paths[name] = j.existing(f"{name}_by_time", log.path)
         j.run(f"own_{name}", j.pipe(paths[name], lambda s: s).watermark_by(F.col("ms")))
     j.run("met", j.one_to_one_join("own_events", "own_orders", F.col("event_id"), F.col("o_orderkey"), [F.col("l.event_id")]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import monoids as M
 from rillmark.operators.index import Index, entries
+from rillmark.plans.jobs import Job, JobConfig
 from rillmark.streaming.storage import Reader, Topic, WatermarkLog, default_watermark, lag, list_topics
 from rillmark.streaming.tables import AggrTable
 
@@ -156,3 +157,18 @@ def test_waiting_for_a_partition(spark, tmp_path):
     t = Topic(spark, f"{tmp_path}/t")
     t.append(strings(spark, "a"), 0, 1, F.lit(2))
     assert t.wait(pid=2, timeout=0.1) and not t.wait(pid=1, timeout=0.1) and not t.wait(after=0, pid=2, timeout=0.1)
+
+
+def test_rows_in_order_without_a_partition_stand_in_ranges(spark, tmp_path):
+    """Several tasks write them, and a step that reads all files knows which row was last."""
+    t = Topic(spark, f"{tmp_path}/t")
+    df = spark.range(4000).select("id", (F.col("id") * 7919 % 4001).alias("at"), F.repeat(F.lit("x"), F.when(F.col("id") % 4001 < 900, 90).otherwise(1).cast("int")).alias("s"))
+    t.append(df.withColumn("at", F.when(F.col("at") > 2000, 2000).otherwise(F.col("at"))), 0, 4, order=("at", "id"))
+    rows = t.dump()
+    assert [(r["at"], r["id"]) for r in rows] == sorted((r["at"], r["id"]) for r in rows) and len(rows) == 4000
+    assert t.partition_counts().count() == 4 and max(r["n"] for r in t.partition_counts().collect()) < 2000
+    j = Job(JobConfig(spark, f"{tmp_path}/job"))
+    j.existing("t", t.path)
+    j.run("own", j.pipe("t", lambda s: s).watermark_by(F.col("at") * 10000 + F.col("id")))
+    j.start()
+    assert j.watermark("own") == 2000 * 10000 + rows[-1]["id"]
