@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of one key that one task may always get in a join.
 HOT = 500
+#: Edges of which one task makes the components, and rows of a few numbers that are broadcast, in some megabytes; small stages of many tasks would take longer.
+FEW = 200_000
 
 
 class Scratch:
@@ -100,12 +105,33 @@ def hot_join(left: DataFrame, keyed: DataFrame, key: str, total: int, least: int
     return dealt.join(copies.hint("merge"), [key, salt]).drop(salt)
 
 
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of one task: each node takes the least label next to it, and the label of its label, until none changes."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = ends[: len(a)], ends[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            before, least = label.copy(), np.minimum(label[a], label[b])
+            # The roots of both ends get the least, so whole trees move at once.
+            for end in (a, b):
+                np.minimum.at(label, before[end], least)
+                np.minimum.at(label, end, least)
+            while (up := label[label] != label).any():
+                label[up] = label[label[up]]
+            if (label == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["node", "component"])
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of `edges` (src, dst; 64-bit ids): component is the least node reachable.
 
     Alternates large-star and small-star contraction with minimums, which combine before they are shuffled, and
     joins that deal a node's neighbours to several tasks if it has many (`hot_join`); ends when the
-    edges no longer change.  Self-loops and repeated edges are harmless.
+    edges no longer change.  FEW edges are contracted by one task.  Self-loops and repeated edges are harmless.
     """
     e = scratch.keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
 
@@ -120,6 +146,8 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     mark = seen(e)
     if not mark[0]:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if mark[0] <= FEW:
+        return scratch.keep(e.coalesce(1).mapInArrow(_least_reachable, "node long, component long"))
     for _ in range(most_rounds):
         begin = len(scratch.paths)
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm import words as W
-from rillmark.llm.cluster import HOT, Scratch, components, hot_join
+from rillmark.llm.cluster import FEW, HOT, Scratch, components, hot_join
 
 BANDS, ROWS = 40, 5
 BATCH, MISS = 20, 1e-6
@@ -288,14 +288,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_leaders(pairs: DataFrame, more: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
         """`more` (pairs with columns of b) with the columns of a, which may be in many pairs."""
         if total <= HOT:
-            return more.join(leaders.hint("merge"), "a")
+            return more.join(leaders, "a")
         counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
         return hot_join(more, scratch.keep(leaders.join(counts.hint("merge"), "a")), "a", total, by=("a", "b"))
 
+    def with_both(pairs: DataFrame, b: DataFrame, a: DataFrame) -> DataFrame:
+        """Kept pairs with the columns of their ends; a few pairs are brought to the rows of b, not these to them."""
+        total = pairs.count()
+        return with_leaders(pairs, b.join(F.broadcast(pairs), "b") if total <= FEW else pairs.join(b.hint("merge"), "b"), a, total)
+
     def surviving(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs)
-        both = pairs.join(facts.select("rep", "n", "sig").toDF("b", "nb", "sb").hint("merge"), "b")
-        both = with_leaders(pairs, both, facts.select("rep", "n", "sig").toDF("a", "na", "sa"), pairs.count())
+        both = with_both(scratch.keep(pairs), facts.select("rep", "n", "sig").toDF("b", "nb", "sb"), facts.select("rep", "n", "sig").toDF("a", "na", "sa"))
         return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(_prune(percent), "a long, b long")
 
     def full_sets(ids: DataFrame) -> DataFrame:
@@ -304,8 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
         """The pairs that link; one may be there more than once."""
-        pairs = scratch.keep(pairs)
-        both = with_leaders(pairs, pairs.join(full.toDF("b", "sb").hint("merge"), "b"), full.toDF("a", "sa"), pairs.count())
+        both = with_both(scratch.keep(pairs), full.toDF("b", "sb"), full.toDF("a", "sa"))
         shared = F.size(F.array_intersect("sa", "sb"))
         met = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("total")).where(f"100L * i >= {percent}L * (total - i)")
         return scratch.keep(met.select("a", "b"))
@@ -329,7 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = scratch.keep(left.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
         draw = F.xxhash64("rep", "bkey", F.lit(r))
         mixed = placed.groupBy("bkey").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("rep", draw).alias("leader"), F.min_by("component", draw).alias("own"), F.count(F.lit(1)).alias("rows")).where("low <> high").drop("low", "high")
-        rows = scratch.keep(hot_join(placed, scratch.keep(mixed), "bkey", placed.count()))
+        mixed = scratch.keep(mixed)
+        if mixed.isEmpty():
+            break
+        total = placed.count()
+        rows = scratch.keep(placed.join(F.broadcast(mixed.drop("rows")), "bkey") if total <= FEW else hot_join(placed, mixed, "bkey", total))
         left = rows.select("bkey", "rep", "members")
         if facts is None:
             live = scratch.keep(rows.select("rep").distinct())
@@ -339,7 +345,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = surviving(rows.where("component <> own").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), facts)
         else:
             found = _blocks_of(rows, facts, sets).mapInArrow(_across(percent), "a long, b long").distinct()
-        known = joined(confirmed(found, sets), known)
+        links = confirmed(found, sets)
+        known = known if links.isEmpty() else joined(links, known)
     named = known.toDF("node", "component")
     # Texts of one id are one document, whatever their sets.
     owned = able.select("doc_id", "set_hash").join(reps.select("set_hash", "rep"), "set_hash")

@@ -715,3 +715,26 @@ def test_wrapped_notices_are_found_and_prose_is_not(spark):
     got = {r["doc_id"]: r["families"] for r in licenses.licences(docs(spark, rows)).collect()}
     assert sum(got[k] == f for k, f in want.items()) / len(want) > 0.9
     assert all(got[k] == "" for k in range(clean, len(rows)))
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random"])
+def test_few_edges_are_contracted_by_one_task_and_many_by_rounds(spark, monkeypatch, shape):
+    """Both give the least node reachable; few write no more than two tables."""
+    rng = random.Random(5)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(400)]
+    edges = {"path": list(zip(ids, ids[1:], strict=False)), "star": [(ids[0], x) for x in ids[1:]], "random": [tuple(rng.sample(ids, 2)) for _ in range(220)]}[shape] + [(ids[7], ids[7])]
+    top = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in top:
+        before = dict(top)
+        for a, b in edges:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+        if before == top:
+            break
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for few in (cluster.FEW, 0):
+        monkeypatch.setattr(cluster, "FEW", few)
+        scratch = Scratch(spark, "few")
+        got = cluster.components(scratch, df)
+        assert {r["node"]: r["component"] for r in got.collect()} == top and got.count() == len(top)
+        assert len(scratch.paths) <= 2 if few else len(scratch.paths) > 2
