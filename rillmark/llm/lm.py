@@ -45,7 +45,7 @@ DEPTH, BITS, SMOOTH = 7, 16.0, 4.0
 SURE, GAIN = 0, 0.0
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 #: Last bytes of a context that name its range; sequences that a task holds before it sends them; tasks added up at a time.
-NEAR, HELD, FAN = 3, 3 << 20, 64
+NEAR, HELD, FAN = 3, 8 << 20, 64
 #: Bits of the array of states, as a power of two; bytes of text that arrays, and rows that travel, are made of.
 MARKS, CHUNK, RUN_BYTES = 25, 1 << 19, 1 << 20
 #: Contexts that end in the same so many bytes are in one bucket, so that names in it share most of their bytes.
@@ -62,33 +62,42 @@ def symbols(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols, one after the other, and where each text's begin."""
     doc, length = w.doc(), w.end - w.start
     first = np.concatenate(([0], np.cumsum(np.bincount(doc, length + 1, minlength=len(w.counts)).astype(np.int64) + 1)))
-    out = np.full(int(first[-1]), 0x20, np.uint8)
+    letter = np.ones(int(first[-1]), bool)
+    # Before a word's space stand one for each earlier word and an end for each earlier text.
+    letter[np.cumsum(length) + np.arange(len(length)) + doc] = False
+    letter[first[1:] - 1] = False
+    out = np.full(len(letter), 0x20, np.uint8)
     out[first[1:] - 1] = 0
-    step = np.arange(int(length.sum()))
-    # Before a word's bytes stand a space for each earlier word and an end for each earlier text.
-    out[step + np.repeat(np.arange(len(length)) + doc, length)] = W.LOWER[w.raw[step + np.repeat(w.start - np.cumsum(length) + length, length)]]
+    out[letter] = W.LOWER[w.raw[W.NON_SPACE[w.raw]]]
     return out, first
 
 
 def grams(out: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each symbol a number: the DEPTH before it in its text, the latest first, then it; zeros before the start."""
-    # DEPTH zeros stand before each text, so a number is eight bytes in memory, turned by one.
-    wide = np.zeros(len(out) + DEPTH * (len(first) - 1), np.uint8)
-    at = np.arange(len(out)) + np.repeat(DEPTH * np.arange(1, len(first)), np.diff(first))
-    wide[at] = out
-    code = np.ndarray(max(len(wide) - DEPTH, 0), "<u8", wide.data, 0, (1,))[at - DEPTH] if len(out) else np.zeros(0, np.uint64)
-    return code << np.uint64(8) | code >> np.uint64(56)
+    # A number is eight bytes in memory, turned by one; at the start of a text it has bytes of the one before, which are cleared.
+    wide = np.concatenate((np.zeros(DEPTH, np.uint8), out))
+    code = np.ndarray(len(out), "<u8", wide.data, 0, (1,)).copy()
+    code = code << np.uint64(8) | code >> np.uint64(56)
+    for k in range(DEPTH):
+        code[first[:-1][np.diff(first) > k] + k] &= top(k) | _BYTE
+    return code
+
 
+def _heads(code: np.ndarray) -> np.ndarray:
+    """Where another number begins."""
+    return np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
 
-def distinct(code: np.ndarray) -> np.ndarray:
-    code = np.sort(code)
+
+def distinct(code: np.ndarray, kind: str = "quicksort") -> np.ndarray:
+    """Distinct numbers, sorted; kind: `stable` merges sorted runs."""
+    code = np.sort(code, kind=kind)
     return code[np.concatenate(([True], code[1:] != code[:-1]))] if len(code) else code
 
 
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, sorted, and how often each is there."""
-    code = np.sort(code)
-    head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    """Distinct numbers, sorted, and how often each is there; the array itself is sorted."""
+    code.sort()
+    head = _heads(code)
     return code[head], np.diff(np.concatenate((head, [len(code)])))
 
 
@@ -107,13 +116,13 @@ def shortened(code: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.n
     return summed(code & top(d) | code & _BYTE, n)
 
 
-def _inverse(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, sorted, and the place of each one's number among them."""
-    order = np.argsort(code)
+def _inverse(code: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, sorted, and the place of each one's number among them; kind: `stable` merges sorted runs."""
+    order = np.argsort(code, kind=kind)
     own = code[order]
     new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
-    at = np.empty(len(own), np.int64)
-    at[order] = np.cumsum(new) - 1
+    at = np.empty(len(own), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
     return own[new], at
 
 
@@ -240,40 +249,55 @@ def shortened_names(name: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.
 def whole_names(kinds: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """What shortened_names() was made of; runs of names that begin with a head may stand one after the other."""
     same, size = kinds >> 3, kinds & 7
-    out, row = np.zeros((len(kinds), 8), np.uint8), np.arange(len(kinds))
+    out, row = np.zeros((len(kinds), 8), np.uint8), np.arange(len(kinds), dtype=np.int32)
     place = np.arange(8)
     out[(place >= same[:, None]) & (place < size[:, None])] = rest
     for k in range(DEPTH):
-        out[:, k] = out[np.maximum.accumulate(np.where(same <= k, row, 0)), k]
+        out[:, k] = out[:, k][np.maximum.accumulate(row * (same <= k))]
     out[:, 7] = size
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _packed(code: np.ndarray, n: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    """Sorted sequences and counts, a compressed row for each range; the bytes of a row's sequences and counts stand plane by plane."""
-    source, value = _shares(n, 2)
-    code = code[source]
-    at = code >> np.uint64(64 - 8 * NEAR)
-    head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-    planes = np.stack([*((code >> np.uint64(8 * k)).astype(np.uint8) for k in range(DEPTH - NEAR, -1, -1)), *value.view(np.uint8).reshape(-1, 2).T])
-    end = np.append(head[1:], len(code))
-    own = [pa.compress(planes[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(head, end, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(at[head].astype(np.int32)), pa.array(np.full(len(head), part, np.int32)), pa.array((end - head).astype(np.int32)), pa.array(own, pa.binary())], names=["near", "part", "size", "planes"])
+_SEQUENCES = "range int, part int, size int, planes binary"
+
+
+def _packed(code: np.ndarray, n: np.ndarray, part: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Sorted sequences and counts, a compressed row for each range that has any; the bytes of a row's sequences and counts stand plane by plane."""
+    if int(n.max(initial=0)) < (1 << 16) - 1:
+        value = n.astype("<u2")
+    else:
+        source, value = _shares(n, 2)
+        code = code[source]
+    near = code >> np.uint64(64 - 8 * NEAR)
+    head = _heads(near)
+    at, size = (W.mix(near[head]) >> np.uint64(33)) % np.uint64(ranges), np.diff(np.append(head, len(code)))
+    order = np.argsort(at, kind="stable")
+    turn, first = _gathered(head[order], size[order]), _heads(at[order])
+    code, value = code[turn].astype("<u8").view(np.uint8).reshape(-1, 8), value[turn].view(np.uint8).reshape(-1, 2)
+    cut = np.append(_begins(size[order])[first], len(code))
+    own = [_plain(code[a:b]) + _plain(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    own = [pa.compress(x, "zstd", asbytes=True) for x in own]
+    yield pa.RecordBatch.from_arrays([pa.array(at[order][first].astype(np.int32)), pa.array(np.full(len(first), part, np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(own, pa.binary())], names=["range", "part", "size", "planes"])
+
+
+def _plain(rows: np.ndarray) -> bytes:
+    """Bytes of numbers by planes, the highest first."""
+    return rows[:, ::-1].T.tobytes()
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    size, wide = batch["size"].to_pylist(), DEPTH - NEAR + 3
-    own = [np.frombuffer(pa.decompress(x, wide * m, "zstd", asbytes=True), np.uint8).reshape(wide, m) for x, m in zip(batch["planes"].to_pylist(), size, strict=True)]
-    code = np.repeat(batch["near"].to_numpy().astype(np.uint64) << np.uint64(64 - 8 * NEAR), size)
-    flat = np.concatenate(own, axis=1)
-    for k in range(DEPTH - NEAR + 1):
-        code |= flat[k].astype(np.uint64) << np.uint64(8 * (DEPTH - NEAR - k))
-    return code, flat[-2].astype(np.int64) + (flat[-1].astype(np.int64) << 8)
+    size = batch["size"].to_pylist()
+    code, n = np.empty((sum(size), 8), np.uint8), np.empty((sum(size), 2), np.uint8)
+    begin = 0
+    for x, m in zip(batch["planes"], size, strict=True):
+        own = np.frombuffer(pa.decompress(x.as_buffer(), 10 * m, "zstd", asbytes=True), np.uint8).reshape(10, m)
+        code[begin : begin + m], n[begin : begin + m] = own[7::-1].T, own[:7:-1].T
+        begin += m
+    return code.view("<u8").ravel(), n.view("<u2").ravel().astype(np.int64)
 
 
 def states_of(training: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     """The states of the training texts (one column, text), a row each, and the root's symbols with counts."""
-    kinds = "near int, part int, size int, planes binary"
     total_bytes, tasks = training.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("part")).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,19 +306,19 @@ def states_of(training: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[n
             for _, _, w in W.of_column(batch.column(0), most=CHUNK, hashed=False):
                 held.append(grams(*symbols(w)))
                 if sum(map(len, held)) >= HELD:
-                    yield from _packed(*counted(np.concatenate(held)), part)
-                    held = []
+                    code, held = np.concatenate(held), []
+                    yield from _packed(*counted(code), part, ranges)
         if held:
-            yield from _packed(*counted(np.concatenate(held)), part)
+            yield from _packed(*counted(np.concatenate(held)), part, ranges)
 
     def added(t: pa.Table) -> pa.Table:
         code, n = summed(*_unpacked(t.combine_chunks().to_batches()[0]))
-        return pa.Table.from_batches(list(_packed(code, n, t["part"][0].as_py())))
+        return pa.Table.from_batches(list(_packed(code, n, t["part"][0].as_py(), ranges)))
 
     ranges = max(1, -(-int(total_bytes) // RANGE_BYTES))
-    counts = training.mapInArrow(count, kinds)
+    counts = training.mapInArrow(count, _SEQUENCES)
     while tasks > FAN:
-        counts = scratch.keep(counts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("near", "part").applyInArrow(added, kinds))
+        counts = scratch.keep(counts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("range", "part").applyInArrow(added, _SEQUENCES))
         tasks = -(-tasks // FAN)
 
     def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +338,7 @@ def states_of(training: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[n
             needed = own.suffixes(chosen)
         yield from _rows(levels[NEAR], np.ones(len(levels[NEAR].contexts), bool), needed)
 
-    made = scratch.keep(counts.select("near", "size", "planes").repartition(ranges, "near").mapInArrow(deep, _STATES))
+    made = scratch.keep(counts.repartitionById(ranges, "range").mapInArrow(deep, _STATES))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, np.int64)
@@ -341,14 +365,23 @@ def states_of(training: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[n
     return made.where(F.col("depth") > NEAR).union(near), (root.code, root.n)
 
 
+def _found(known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is among known ones, which are sorted, and its place there."""
+    if not len(known):
+        return np.zeros(len(value), bool), np.zeros(len(value), np.int64)
+    k = np.minimum(np.searchsorted(known, value), len(known) - 1)
+    return known[k] == value, k
+
+
 @dataclass
 class Tree:
-    """States by depth: sorted contexts, and their symbols' log10 probabilities."""
+    """States by depth: sorted contexts, and their symbols' probabilities."""
 
     contexts: list[np.ndarray]
     escape: list[np.ndarray]  # log10 of what a state leaves to its suffix
     edges: list[np.ndarray]  # sequences, sorted
-    logp: list[np.ndarray]
+    p: list[np.ndarray]
+    logp: list[np.ndarray]  # log10
     root: np.ndarray  # log10 by symbol
 
     @classmethod
@@ -356,14 +389,19 @@ class Tree:
         """levels: by depth, the states; symbol, count: the root's."""
         root = np.full(256, 0.5)
         np.add.at(root, symbol.astype(np.int64), count)
-        tree = cls([np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0)], np.log10(root / root.sum()))
+        name, none = np.zeros(0, np.uint64), np.zeros(0)
+        tree = cls([name], [none], [name], [none], [none], np.log10(root / root.sum()))
         for d in range(1, DEPTH + 1):
-            own = levels.get(d) or Level(np.zeros(0, np.uint64), np.zeros(0, np.int64), d)
-            under = 10 ** tree.of_edges(own.code, d - 1)
+            own = levels.get(d) or Level(name, np.zeros(0, np.int64), d)
+            hit, k = _found(tree.edges[d - 1], own.code & top(d - 1) | own.code & _BYTE)
+            under = np.empty(len(own.code))
+            under[hit] = tree.p[d - 1][k[hit]]
+            under[~hit] = 10 ** tree.of_edges(own.code[~hit], d - 1)
             tree.contexts.append(own.contexts)
             tree.escape.append(np.log10(SMOOTH / (own.all + SMOOTH)))
             tree.edges.append(own.code)
-            tree.logp.append(np.log10((own.n + SMOOTH * under) / (own.all[own.row] + SMOOTH)))
+            tree.p.append((own.n + SMOOTH * under) / (own.all[own.row] + SMOOTH))
+            tree.logp.append(np.log10(tree.p[d]))
         return tree
 
     def of_edges(self, code: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -373,17 +411,30 @@ class Tree:
             if not len(self.contexts[d]) or not len(left):
                 continue
             context = code[left] & top(d)
-            edge = context | code[left] & _BYTE
-            k = np.minimum(np.searchsorted(self.edges[d], edge), len(self.edges[d]) - 1)
-            hit = self.edges[d][k] == edge
+            hit, k = _found(self.edges[d], context | code[left] & _BYTE)
             out[left[hit]] += self.logp[d][k[hit]]
             left, context = left[~hit], context[~hit]
-            k = np.minimum(np.searchsorted(self.contexts[d], context), len(self.contexts[d]) - 1)
-            state = self.contexts[d][k] == context
+            state, k = _found(self.contexts[d], context)
             out[left[state]] += self.escape[d][k[state]]
         out[left] += self.root[(code[left] & _BYTE).astype(np.int64)]
         return out
 
+    def of_asked(self, code: np.ndarray) -> np.ndarray:
+        """As of_edges, of sorted sequences, where states' suffixes are states; quick for those that their states know, as all do that were asked for."""
+        out, left, at = self.root[(code & _BYTE).astype(np.int64)], code, np.arange(len(code))
+        for d in range(1, DEPTH + 2):
+            context = left & top(min(d, DEPTH))
+            head = _heads(context)
+            state = _found(self.contexts[d], context[head])[0] if d <= DEPTH else np.zeros(len(head), bool)
+            on = np.repeat(state, np.diff(np.append(head, len(left))))
+            if d > 1:  # those whose longest state is of the length before
+                own, ends = left[~on], at[~on]
+                hit, k = _found(self.edges[d - 1], own & top(d - 1) | own & _BYTE)
+                out[ends[hit]] = self.logp[d - 1][k[hit]]
+                out[ends[~hit]] = self.of_edges(own[~hit], d - 1)
+            left, at = left[on], at[on]
+        return out
+
 
 def _place(name: np.ndarray) -> np.ndarray:
     """A state's place in the array of states."""
@@ -408,19 +459,23 @@ def _marks(states: DataFrame) -> np.ndarray:
 
 def questions(code: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The names of the contexts of distinct sorted sequences that may be states, how many symbols follow each there, and these; a state's suffixes are states."""
-    names, sizes, symbols_ = [], [], []
+    edges = [code]
+    for d in range(DEPTH - 1, 0, -1):
+        edges.append(distinct(edges[-1] & top(d) | edges[-1] & _BYTE))
+    names, sizes, symbols_, states = [], [], [], np.zeros(1, np.uint64)
     for d in range(1, DEPTH + 1):
-        edge = distinct(code & top(d) | code & _BYTE)
+        edge = edges.pop()
         context = edge & top(d)
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(edge) else np.zeros(0, np.int64)
-        name, size = context[head] | np.uint64(d), np.diff(np.append(head, len(edge)))
-        place = _place(name)
-        hit = (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-        names.append(name[hit])
+        head = _heads(context)
+        context, size = context[head], np.diff(np.append(head, len(edge)))
+        hit = _found(states, context & top(d - 1))[0]
+        own = np.flatnonzero(hit)
+        place = _place(context[own] | np.uint64(d))
+        hit[own] = (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        states = context[hit]
+        names.append(states | np.uint64(d))
         sizes.append(size[hit])
         symbols_.append((edge[np.repeat(hit, size)] & _BYTE).astype(np.uint8))
-        own = code & top(d)
-        code = code[hit[np.cumsum(np.concatenate(([True], own[1:] != own[:-1]))) - 1]] if len(code) else code
     return np.concatenate(names), np.concatenate(sizes), np.concatenate(symbols_)
 
 
@@ -460,7 +515,7 @@ def _begins(size: np.ndarray | list[int]) -> np.ndarray:
 
 def _asking(g: int, held: tuple[list, list, list], buckets: int, marks: np.ndarray) -> pa.RecordBatch:
     words, n = summed(np.concatenate(held[0]), np.concatenate(held[1]).astype(np.int64))
-    name, size, follow = questions(distinct(np.concatenate(held[2])), marks)
+    name, size, follow = questions(distinct(np.concatenate(held[2]), "stable"), marks)
     at = _slot(name) % buckets
     turn = np.lexsort((name, at))
     follow = follow[_gathered((np.cumsum(size) - size)[turn], size[turn])]
@@ -564,30 +619,36 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         known = known.sort_by("bucket")
         whole = [sum(known[c].to_pylist()) for c in ("tokens", "known")]
         name = whole_names(*(np.frombuffer(b"".join(map(_whole, known[c].to_pylist())), np.uint8) for c in ("kinds", "rest")))
-        size, n, alls, counts = (np.concatenate([np.zeros(0, np.uint64), *map(_more, known[c].to_pylist())]).astype(np.int64) for c in ("sizes", "counts", "totals", "n"))
+        size, n, alls, counts = (np.concatenate([np.zeros(0, np.uint64), *map(_more, known[c].to_pylist())]).view(np.int64) for c in ("sizes", "counts", "totals", "n"))
         flat = np.frombuffer(b"".join(map(_whole, known["symbols"].to_pylist())), np.uint8)
-        owner = np.repeat(name, size)
-        levels = {}
+        begin, depth, levels = _begins(size)[:-1], (name & _BYTE).astype(np.uint8), {}
         for d in range(1, DEPTH + 1):
-            on, own_names = (owner & _BYTE) == d, np.flatnonzero((name & _BYTE) == d)
-            code = owner[on] & top(d) | flat[on]
-            order = np.argsort(code)
-            levels[d] = Level(code[order], n[on][order], d)
-            levels[d].all = alls[own_names[np.argsort(name[own_names])]]  # of all symbols, asked for or not
-        del owner, name, size, flat, n, alls, known
+            on = np.flatnonzero(depth == d)
+            on = on[np.argsort(name[on])]
+            edge = _gathered(begin[on], size[on])  # a name's symbols are in order
+            levels[d] = Level(np.repeat(name[on] & top(d), size[on]) | flat[edge], n[edge], d)
+            levels[d].all = alls[on]  # of all symbols, asked for or not
+        del name, size, flat, n, alls, known
         tree, cols = Tree.of(levels, *sent.value[0]), []
         del levels
         # The counts stand in the order of the words' hashes, as they were asked for.
         at = _inverse(np.concatenate([w.hash for _, _, w in W.of_column(own["text"], most=CHUNK)]))[1]
+        codes, places, firsts = [], [], []
+        for _, _, w in W.of_column(own["text"], most=CHUNK, hashed=False):
+            out, first = symbols(w)
+            for c, x in zip((codes, places), _inverse(grams(out, first)), strict=True):
+                c.append(x)
+            firsts.append(first[:-1])
+        code, turn = _inverse(np.concatenate(codes), "stable")
+        value, turn = tree.of_asked(code), np.split(turn, np.cumsum(list(map(len, codes)))[:-1])
+        del tree, code, codes
         begin = 0
-        for i, j, w in W.of_column(own["text"], most=CHUNK, hashed=False):
+        for k, (i, j, w) in enumerate(W.of_column(own["text"], most=CHUNK, hashed=False)):
             c = counts[at[begin : begin + len(w.start)]]
             begin += len(w.start)
             doc, size = w.doc(), j - i
             base = np.bincount(doc, np.log10(c + 0.1), minlength=size) + np.log10(ends + 0.1)
-            out, first = symbols(w)
-            code, place = _inverse(grams(out, first))
-            model = np.add.reduceat(tree.of_edges(code)[place], first[:-1])
+            model = np.add.reduceat(value[turn[k]][places[k]], firsts[k])
             cols.append(
                 pa.table(
                     [own["doc_id"].slice(i, size), own["held_out"].slice(i, size), pa.array(w.counts + 1), pa.array(np.bincount(doc[c > 0], minlength=size) + int(ends > 0)), pa.array(base), pa.array(model), *[pa.nulls(size, pa.int64())] * 2],

@@ -20,6 +20,7 @@ CHUNK_BYTES = 1 << 20
 _WEIGHTS = np.random.default_rng(20240607).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTER = LOWER.astype(np.uint64) + np.uint64(1)
 #: Words `[^\x20\x09-\x0D]+`.
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -107,11 +108,13 @@ def words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = NON_SPACE, hash
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if not hashed:
         return Words(raw, at, start, end, np.searchsorted(start, at), np.zeros(0, np.uint64))
-    kept, length = LOWER[raw[inside]], end - start
+    kept, length = _LETTER[raw[inside]], end - start
     head = np.cumsum(length) - length
     place = np.arange(len(kept)) - np.repeat(head, length)
-    place &= 4095
-    value = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place], head)
+    if length.max() > 4096:
+        place &= 4095
+    kept *= _WEIGHTS[place]
+    value = np.add.reduceat(kept, head)
     return Words(raw, at, start, end, np.searchsorted(start, at), mix(value + length.astype(np.uint64)))
 
 

@@ -388,6 +388,40 @@ def test_names_and_numbers_come_back():
         assert lm._more(lm._less(np.array(value, np.uint64))).tolist() == value
 
 
+def test_sequences_travel_in_one_row_a_range():
+    """A row for each three last bytes, before: two thousand here."""
+    import numpy as np
+
+    rng = np.random.default_rng(19)
+    code, n = lm.counted(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) >> np.uint64(2))
+    n[:3] = 65534, 65535, 3 * 65535 + 7
+    (batch,) = lm._packed(code, n, 4, 9)
+    assert batch["range"].to_pylist() == list(range(9)) and set(batch["part"].to_pylist()) == {4}
+    near = [set((lm._unpacked(batch.slice(k, 1))[0] >> np.uint64(64 - 8 * lm.NEAR)).tolist()) for k in range(9)]
+    assert sum(map(len, near)) == len(set.union(*near))
+    for got, want in zip(lm.summed(*lm._unpacked(batch)), (code, n), strict=True):
+        assert (got == want).all()
+
+
+def test_scores_by_the_longest_state_equal_those_step_by_step():
+    """Of sequences that the states know, and of others."""
+    import numpy as np
+
+    rng = np.random.default_rng(20)
+    text = rng.choice(np.frombuffer(b"abc ", np.uint8), 6000, p=[0.5, 0.3, 0.1, 0.1])
+    code = lm.grams(text, np.array([0, 0, 3, 2500, len(text)]))
+    levels, full = {}, {lm.DEPTH: lm.Level(*lm.counted(code.copy()), lm.DEPTH)}
+    for d in range(lm.DEPTH - 1, 0, -1):
+        full[d] = lm.Level(*lm.shortened(full[d + 1].code, full[d + 1].n, d), d)
+    for d in range(1, lm.DEPTH + 1):
+        keep = full[d].all[full[d].row] > 20  # no longer state is of more
+        levels[d] = lm.Level(full[d].code[keep], full[d].n[keep], d)
+    tree = lm.Tree.of(levels, *np.unique(text, return_counts=True))
+    some = lm.distinct(np.concatenate((code, lm.grams(rng.choice(text, 500), np.array([0, 500])))))
+    assert len(levels[5].code) and np.abs(tree.of_asked(some) - tree.of_edges(some)).max() < 1e-12
+    assert not len(tree.of_asked(some[:0]))
+
+
 def test_groups_without_words(spark):
     rows = [(k, None) for k in range(12)] + [(20, " ")]
     assert [(r["n_tokens"], r["score"]) for r in lm.scored(docs(spark, rows, 1)).collect()] == [(1, pytest.approx(math.log10((r_ + 0.5) / (r_ + 128)))) for r_ in [sum(not held(i, 10, 0) for i, _ in rows)]] * 13
