@@ -28,7 +28,7 @@ without training tokens nothing is known and every symbol is equally likely; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +50,11 @@ NEAR, HELD, FAN = 3, 8 << 20, 64
 MARKS, CHUNK, RUN_BYTES = 25, 1 << 19, 1 << 20
 #: Contexts that end in the same so many bytes are in one bucket, so that names in it share most of their bytes.
 KIN = 5
-_BYTE = np.uint64(255)
+#: Most places of a table of pairs of pairs of bytes.
+PAIRS = 1 << 24
+_BYTE, _PAIR = np.uint64(255), np.uint64(0xFFFF)
+#: Lower-cased bytes, and a space for each that words have none of.
+_LOWER = bytes(np.where(W.NON_SPACE, W.LOWER, 0x20).astype(np.uint8))
 
 
 def top(d: int) -> np.uint64:
@@ -68,7 +72,8 @@ def symbols(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     letter[first[1:] - 1] = False
     out = np.full(len(letter), 0x20, np.uint8)
     out[first[1:] - 1] = 0
-    out[letter] = W.LOWER[w.raw[W.NON_SPACE[w.raw]]]
+    low = np.frombuffer(w.raw.tobytes().translate(_LOWER), np.uint8)
+    out[letter] = low[low != 0x20]
     return out, first
 
 
@@ -88,9 +93,9 @@ def _heads(code: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
 
 
-def distinct(code: np.ndarray, kind: str = "quicksort") -> np.ndarray:
-    """Distinct numbers, sorted; kind: `stable` merges sorted runs."""
-    code = np.sort(code, kind=kind)
+def distinct(code: np.ndarray) -> np.ndarray:
+    """Distinct numbers, sorted."""
+    code = np.sort(code)
     return code[np.concatenate(([True], code[1:] != code[:-1]))] if len(code) else code
 
 
@@ -101,11 +106,21 @@ def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[head], np.diff(np.concatenate((head, [len(code)])))
 
 
-def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def turn_of(hashes: np.ndarray) -> np.ndarray:
+    """What sorts numbers that their highest bits tell apart: these are sorted with the places in the lowest, as numbers sort faster than places do."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    key = hashes & ~low | np.arange(len(hashes), dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int64)
+    own = hashes[order]
+    return order if (own[1:] >= own[:-1]).all() else np.argsort(hashes)
+
+
+def summed(code: np.ndarray, n: np.ndarray, turn: Callable[[np.ndarray], np.ndarray] = np.argsort) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers, sorted, and the sums of their counts."""
     if not len(code):
         return code, n
-    order = np.argsort(code)
+    order = turn(code)
     code = code[order]
     head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     return code[head], np.add.reduceat(n[order], head)
@@ -116,16 +131,82 @@ def shortened(code: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.n
     return summed(code & top(d) | code & _BYTE, n)
 
 
-def _inverse(code: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, sorted, and the place of each one's number among them; kind: `stable` merges sorted runs."""
-    order = np.argsort(code, kind=kind)
-    own = code[order]
+def _inverse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the place of each one's hash among them."""
+    order = turn_of(hashes)
+    own = hashes[order]
     new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
     at = np.empty(len(own), np.int32)
     at[order] = np.cumsum(new, dtype=np.int32) - 1
     return own[new], at
 
 
+def _index(value: np.ndarray) -> np.ndarray:
+    """Small numbers as places of a table: numpy looks up by these two to four times as fast as by others."""
+    return value.view(np.int64)
+
+
+def _ranks(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that were seen, and each one's rank."""
+    value, rank = np.flatnonzero(seen), np.zeros(len(seen), np.int32)
+    rank[value] = np.arange(len(value), dtype=np.int32)
+    return value, rank
+
+
+def sequences(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sequences of symbols and where texts begin, sorted, how often each is there, and their places among all, sequence by sequence.
+
+    Halves of a sequence are told by ranks, so that both and the place are one number to sort.  Where that has too few
+    bits, or tables of pairs are too large, places are sorted by sequence."""
+    begin = np.concatenate(([0], np.cumsum([len(out) for out, _ in parts]))).astype(np.int64)
+    # Of a sequence's four pairs of bytes the second and third stood first before, or are zeros as the first of a text.
+    near, last = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for out, first in parts:
+        code = grams(out, first)
+        near[_index(code >> np.uint64(48))] = True
+        last[_index(code & _PAIR)] = True
+    (nears, near), (lasts, last) = _ranks(near), _ranks(last)
+    a, b, key = len(nears), len(lasts), np.zeros(0, np.uint64)
+    bits = int(begin[-1]).bit_length()
+    if parts and a * max(a, b) <= PAIRS:
+        key, seen = np.empty(begin[-1], np.uint64), (np.zeros(a * a, bool), np.zeros(a * b, bool))
+        for (out, first), i, j in zip(parts, begin[:-1], begin[1:], strict=True):
+            code = grams(out, first)
+            r = np.concatenate((np.zeros(4, np.int64), near[_index(code >> np.uint64(48))]))
+            second, third = r[2:-2].copy(), r[:-4].copy()
+            for k in range(4):
+                at = first[:-1][np.diff(first) > k] + k
+                third[at] = 0
+                if k < 2:
+                    second[at] = 0
+            own = r[4:] * a + second, third * b + last[_index(code & _PAIR)]
+            for x, y in zip(seen, own, strict=True):
+                x[y] = True
+            key[i:j] = own[0].view(np.uint64) << np.uint64(32) | own[1].view(np.uint64)
+        (high, rank), (low, ranks) = map(_ranks, seen)
+        del seen
+        lows = len(low).bit_length()
+        if len(high).bit_length() + lows + bits <= 64:
+            for i, j in zip(begin[:-1], begin[1:], strict=True):
+                x = key[i:j]
+                two = rank[_index(x >> np.uint64(32))].astype(np.uint64) << np.uint64(lows) | ranks[_index(x & np.uint64((1 << 32) - 1))].astype(np.uint64)
+                key[i:j] = two << np.uint64(bits) | np.arange(i, j, dtype=np.uint64)
+            del rank, ranks
+            key.sort()
+            place = (key & np.uint64((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+            key >>= np.uint64(bits)
+            head = _heads(key)
+            own = _index(key[head])
+            one, two = ((nears[x // m] << 16 | y[x % m]).astype(np.uint64) for x, y, m in ((high, nears, a), (low, lasts, b)))
+            return one[own >> lows] << np.uint64(32) | two[own & (1 << lows) - 1], np.diff(np.append(head, len(key))).astype(np.int32 if bits < 32 else np.int64), place
+    del key
+    code = np.concatenate([np.zeros(0, np.uint64), *(grams(*x) for x in parts)])
+    place = np.argsort(code)
+    code = code[place]
+    head = _heads(code)
+    return code[head], np.diff(np.append(head, len(code))), place
+
+
 @dataclass
 class Level:
     """All contexts of one length: their sequences, sorted, with counts."""
@@ -211,6 +292,14 @@ def _level(t: pa.RecordBatch | pa.Table, d: int) -> Level:
     return Level(*summed(np.repeat(name[order] & top(d), size) | flat, counts.astype(np.int64)), d)
 
 
+def _planes(rows: np.ndarray) -> np.ndarray:
+    """Columns one after the other; numpy's own copies of transposed bytes take several times as long."""
+    out = np.empty(rows.shape[::-1], np.uint8)
+    for k in range(len(out)):
+        out[k] = rows[:, k]
+    return out
+
+
 def _small(value: np.ndarray | bytes) -> bytes:
     """Bytes compressed, after their number."""
     raw = value if isinstance(value, bytes) else value.tobytes()
@@ -225,7 +314,7 @@ def _whole(raw: bytes) -> bytes:
 def _less(value: np.ndarray) -> bytes:
     """Numbers compressed, by planes of their bytes: as many as the largest has."""
     width = max(1, int(value.max(initial=0)).bit_length() + 7 >> 3)
-    return bytes([width]) + _small(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + _small(_planes(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]))
 
 
 def _more(raw: bytes) -> np.ndarray:
@@ -275,23 +364,21 @@ def _packed(code: np.ndarray, n: np.ndarray, part: int, ranges: int) -> Iterator
     turn, first = _gathered(head[order], size[order]), _heads(at[order])
     code, value = code[turn].astype("<u8").view(np.uint8).reshape(-1, 8), value[turn].view(np.uint8).reshape(-1, 2)
     cut = np.append(_begins(size[order])[first], len(code))
-    own = [_plain(code[a:b]) + _plain(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    own = [pa.compress(x, "zstd", asbytes=True) for x in own]
+    planes = np.concatenate((_planes(code[:, ::-1]), _planes(value[:, ::-1])))  # the highest first
+    own = [pa.compress(planes[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(at[order][first].astype(np.int32)), pa.array(np.full(len(first), part, np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(own, pa.binary())], names=["range", "part", "size", "planes"])
 
 
-def _plain(rows: np.ndarray) -> bytes:
-    """Bytes of numbers by planes, the highest first."""
-    return rows[:, ::-1].T.tobytes()
-
-
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     size = batch["size"].to_pylist()
     code, n = np.empty((sum(size), 8), np.uint8), np.empty((sum(size), 2), np.uint8)
     begin = 0
     for x, m in zip(batch["planes"], size, strict=True):
         own = np.frombuffer(pa.decompress(x.as_buffer(), 10 * m, "zstd", asbytes=True), np.uint8).reshape(10, m)
-        code[begin : begin + m], n[begin : begin + m] = own[7::-1].T, own[:7:-1].T
+        for k in range(8):
+            code[begin : begin + m, k] = own[7 - k]
+        for k in range(2):
+            n[begin : begin + m, k] = own[9 - k]
         begin += m
     return code.view("<u8").ravel(), n.view("<u2").ravel().astype(np.int64)
 
@@ -514,8 +601,11 @@ def _begins(size: np.ndarray | list[int]) -> np.ndarray:
 
 
 def _asking(g: int, held: tuple[list, list, list], buckets: int, marks: np.ndarray) -> pa.RecordBatch:
-    words, n = summed(np.concatenate(held[0]), np.concatenate(held[1]).astype(np.int64))
-    name, size, follow = questions(distinct(np.concatenate(held[2]), "stable"), marks)
+    words, n = summed(np.concatenate(held[0]), np.concatenate(held[1]).astype(np.int64), turn_of)
+    code = np.concatenate(held[2])
+    held[2].clear()
+    code.sort()
+    name, size, follow = questions(code[_heads(code)], marks)
     at = _slot(name) % buckets
     turn = np.lexsort((name, at))
     follow = follow[_gathered((np.cumsum(size) - size)[turn], size[turn])]
@@ -566,7 +656,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                     held = ([], [], [])
                 now = k
                 for i, j, w in W.of_column(batch.column(1).slice(a, b - a), most=CHUNK):
-                    for c, x in zip(held, (w.hash, ~on[a + i : a + j][w.doc()], distinct(grams(*symbols(w)))), strict=True):
+                    for c, x in zip(held, (w.hash, ~on[a + i : a + j][w.doc()], grams(*symbols(w))), strict=True):
                         c.append(x)
             begin += int(W.buffers(batch.column(1))[1][-1])
         if held[0]:
@@ -616,6 +706,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         if not own.num_rows:
             return schema.empty_table()
         own = pa.concat_tables([pa.ipc.open_stream(_whole(x)).read_all() for x in own.sort_by("n")["rows"].to_pylist()]).combine_chunks()
+        hashes, parts, texts = [], [], []
+        for i, j, w in W.of_column(own["text"], most=CHUNK):
+            hashes.append(w.hash)
+            parts.append(symbols(w))
+            texts.append((i, j, w.counts))
+        # Sorted before the states are unpacked, so that a worker does not hold both at their largest.
+        at = _inverse(np.concatenate(hashes))[1]
+        del hashes, w
+        code, often, place = sequences(parts)
         known = known.sort_by("bucket")
         whole = [sum(known[c].to_pylist()) for c in ("tokens", "known")]
         name = whole_names(*(np.frombuffer(b"".join(map(_whole, known[c].to_pylist())), np.uint8) for c in ("kinds", "rest")))
@@ -631,27 +730,24 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         del name, size, flat, n, alls, known
         tree, cols = Tree.of(levels, *sent.value[0]), []
         del levels
+        tree.p.clear()
         # The counts stand in the order of the words' hashes, as they were asked for.
-        at = _inverse(np.concatenate([w.hash for _, _, w in W.of_column(own["text"], most=CHUNK)]))[1]
-        codes, places, firsts = [], [], []
-        for _, _, w in W.of_column(own["text"], most=CHUNK, hashed=False):
-            out, first = symbols(w)
-            for c, x in zip((codes, places), _inverse(grams(out, first)), strict=True):
-                c.append(x)
-            firsts.append(first[:-1])
-        code, turn = _inverse(np.concatenate(codes), "stable")
-        value, turn = tree.of_asked(code), np.split(turn, np.cumsum(list(map(len, codes)))[:-1])
-        del tree, code, codes
-        begin = 0
-        for k, (i, j, w) in enumerate(W.of_column(own["text"], most=CHUNK, hashed=False)):
-            c = counts[at[begin : begin + len(w.start)]]
-            begin += len(w.start)
-            doc, size = w.doc(), j - i
+        counts = counts[at]
+        value = tree.of_asked(code)
+        del tree, code
+        each = np.empty(len(place))
+        each[place] = np.repeat(value, often)
+        del value, often, place
+        begin = end = 0
+        for (i, j, n), (out, first) in zip(texts, parts, strict=True):
+            c, one = counts[begin : begin + int(n.sum())], each[end : end + len(out)]
+            begin, end = begin + len(c), end + len(out)
+            doc, size = np.repeat(np.arange(j - i), n), j - i
             base = np.bincount(doc, np.log10(c + 0.1), minlength=size) + np.log10(ends + 0.1)
-            model = np.add.reduceat(value[turn[k]][places[k]], firsts[k])
+            model = np.add.reduceat(one, first[:-1])
             cols.append(
                 pa.table(
-                    [own["doc_id"].slice(i, size), own["held_out"].slice(i, size), pa.array(w.counts + 1), pa.array(np.bincount(doc[c > 0], minlength=size) + int(ends > 0)), pa.array(base), pa.array(model), *[pa.nulls(size, pa.int64())] * 2],
+                    [own["doc_id"].slice(i, size), own["held_out"].slice(i, size), pa.array(n + 1), pa.array(np.bincount(doc[c > 0], minlength=size) + int(ends > 0)), pa.array(base), pa.array(model), *[pa.nulls(size, pa.int64())] * 2],
                     schema=schema,
                 )
             )
